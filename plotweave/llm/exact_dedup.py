@@ -18,8 +18,14 @@ from plotweave.sources.workspace import new_path, staged
 
 #: Bits of the digest that address the bitmap of hit digests: 2^24 bits, 262,144 longs at most.
 BITMAP_BITS = 24
-STATE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state lives in RocksDB; its files are not preallocated (there is one small store per
+#: partition) and a batch writes its changes rather than a copy of the store.
+_STORE = "spark.sql.streaming.stateStore"
+STATE_CONF = {
+    f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STORE}.rocksdb.allowFAllocate": "false",
+    f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def _rank() -> Column:
@@ -35,9 +41,10 @@ def keyed_state(spark: SparkSession, ledger: DataFrame, path: str, max_bytes: in
     checkpoint. Partial aggregation before the shuffle leaves one row per digest and task, so a
     digest that holds a third of all rows doesn't burden the task that keeps it.
     """
-    before = spark.conf.get(STATE)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
     checkpoint = new_path(spark, "state")
-    spark.conf.set(STATE, ROCKSDB)
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         query = (
             spark.readStream.schema(ledger.schema).option("maxBytesPerTrigger", max_bytes)
@@ -55,7 +62,8 @@ def keyed_state(spark: SparkSession, ledger: DataFrame, path: str, max_bytes: in
             "digests",
         )
     finally:
-        spark.conf.set(STATE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def exact_dedup(
