@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from plotweave.llm import exact_dedup
+from plotweave.llm import exact_dedup, packing, simhash
 
-QUERIES = {"op1_exact_dedup": exact_dedup.op1_exact_dedup}
+QUERIES = {
+    "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op8_simhash": simhash.op8_simhash,
+}
 ORACLE_SQL = {"op1_exact_dedup": exact_dedup.ORACLE}
