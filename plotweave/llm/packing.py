@@ -10,7 +10,9 @@ its length and its rank among the documents of that length.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,8 +25,8 @@ from plotweave.operators.ranks import ranked
 from plotweave.sources.workspace import staged
 
 CAPACITY, END_ID = 4096, 1
-#: Words whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 600_000
+#: Words, and pieces of words, whose ids a worker remembers; beyond it the memory starts anew.
+REMEMBERED = 700_000
 
 
 class CapacityTree:
@@ -94,38 +96,83 @@ def plan_packing(lengths: Iterable[tuple[int, int]], capacity: int) -> np.ndarra
     return np.array(rows, np.int64).reshape(-1, 6)
 
 
+#: Chunks between white space that the fast path takes apart itself: letters, digits and marks of
+#: ASCII and Latin-1, which the tokenizer's normaliser only lower-cases.
+PLAIN = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write the UTF-8 bytes of the non-ASCII letters in ``PLAIN``."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    letter = {b: chr(b if b in shown else next(hidden)) for b in range(256)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
+
+
+class _Words(dict):
+    """Ids of words by their UTF-8; a word that is missing is encoded."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self.encode(word.decode())
+        return ids
+
+
 class Tokens:
-    """Token ids of texts, with the ids of frequent words remembered.
+    """Token ids of texts, with the ids of words remembered.
 
     The tokenizer's pattern never spans ASCII white space, so a text's ids are its words' ids in
-    order, and a word needs encoding only when it isn't remembered.
+    order, and only a word that isn't remembered needs encoding. A plain word is cut into the
+    pattern's pieces here and the vocabulary's merges run on pieces not met before; any other
+    word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encoder, self.known = Tokenizer.from_file(path), {}
+        self.encoder = Tokenizer.from_file(path)
+        self.merge, self.letters = self.encoder.model.tokenize, _byte_letters()
+        self.known = _Words(self.word)
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        ids = array("I", [t.id for t in self.merge(piece.translate(self.letters))]).tobytes()
+        if len(self.pieces) >= REMEMBERED:
+            self.pieces.clear()
+        self.pieces[piece] = ids
+        return ids
+
+    def word(self, word: str) -> bytes:
+        low = word.lower()
+        parts = PLAIN.findall(low)
+        if "<|" in low or sum(map(len, parts)) != len(low) or len(low) != len(word):
+            return array("I", self.encoder.encode(word, add_special_tokens=False).ids).tobytes()
+        known, new = self.pieces.get, self._piece
+        return b"".join([known(p) or new(p) for p in parts])
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        words = (text or "").encode("utf-8").split()
-        new = [w for w in set(words) if w not in self.known]
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known, new = {}, list(set(words))
-            for at in range(0, len(new), 4096):
-                part = new[at:at + 4096]
-                found = self.encoder.encode_batch([w.decode() for w in part], add_special_tokens=False)
-                self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
-        known = self.known
-        return b"".join([known[w] for w in words])
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        return b"".join(map(self.known.__getitem__, (text or "").encode("utf-8").split()))
+
+
+_TOKENS: dict[str, Tokens] = {}
+
+
+def tokens_of(path: str) -> Tokens:
+    """The worker's own, which lives as long as the worker does."""
+    return _TOKENS.get(path) or _TOKENS.setdefault(path, Tokens(path))
 
 
 def _tokenise(path: str, capacity: int, end_id: int, with_ids: bool):
     end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(path)
+        tokens = tokens_of(path)
         names = ["__file", "__row", "id", "piece", "start", "length", "crc", *["ids"] * with_ids]
         kinds = [*[pa.int64()] * 3, pa.int32(), *[pa.int64()] * 3, *[pa.list_(pa.int64())] * with_ids]
         for b in batches:
@@ -184,7 +231,7 @@ def pack_documents(
     )
     histogram = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
     plan = plan_packing([(r["length"], r["n"]) for r in histogram], capacity)
-    order = ranked(pieces, ["length"], ["id", "piece", "__file", "__row"], groups_bounded=True)
+    order = ranked(pieces, ["length"], ["id", "piece", "crc"], groups_bounded=True)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in order.schema.fields)
     return order.mapInArrow(_place(plan), kinds + ", sequence_id long, offset long").select(
         F.col("id").alias(key), "piece", "start", "length", F.col("crc").alias("ids_crc32"),
