@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from plotweave.llm import exact_dedup, packing, simhash
+from plotweave.llm import chat, exact_dedup, hilbert, langid, mixing, packing, simhash
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op6_pivotal_mixing": mixing.op6_pivotal_mixing,
+    "op7_language_id": langid.op7_language_id,
     "op8_simhash": simhash.op8_simhash,
+    "op9_hilbert_shards": hilbert.op9_hilbert_shards,
+    "op10_chat_format": chat.op10_chat_format,
 }
-ORACLE_SQL = {"op1_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL = {"op1_exact_dedup": exact_dedup.ORACLE, "op10_chat_format": chat.ORACLE}
