@@ -46,8 +46,6 @@ def statistics(t: Column) -> dict[str, Column]:
         "stops": share("[.]+"),
         "commas": share("[,]+"),
         "distinct_words": of_words(F.size(F.array_distinct(words))),
-        "repeats": of_words(n - F.char_length(F.regexp_replace(
-            t, r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]{1,40})(?:[\x20\x09-\x0D]\1)+(?![^\x20\x09-\x0D])", ""))),
         "log_lines": F.log1p(nl.cast("double")),
         "distinct_lines": F.size(F.array_distinct(lines)) / F.greatest(nl, F.lit(1)),
         "words_a_line": F.log1p(nw / F.greatest(nl, F.lit(1))),
