@@ -7,6 +7,7 @@ import random
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def convex_hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
@@ -70,12 +71,12 @@ def _corners(rings) -> list[tuple[float, float]]:
     return [(p["x"], p["y"]) for ring in rings if ring is not None for p in ring] if rings is not None else []
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def hull_area(rings: pd.Series) -> pd.Series:
     return rings.map(lambda r: polygon_area(convex_hull(_corners(r)))).astype(float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def circle_area(rings: pd.Series) -> pd.Series:
     return rings.map(lambda r: math.pi * enclosing_radius(_corners(r)) ** 2).astype(float)
 
