@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 
 def ranked(
-    df: DataFrame, group: list[str], order: list[str], *, rows_per_slice: int = 2000,
+    df: DataFrame, group: list[str], order: list[str], *, rows_per_slice: int = 500,
     groups_bounded: bool = False, name: str = "rank",
 ) -> DataFrame:
     """Add a gapless 0-based position within each group of ``group``.
 
-    A group is dealt into slices of about ``rows_per_slice`` rows by a hash of ``order``; rows are
-    numbered inside their slice and shifted by the rows of the slices before it. A group holding
-    a third of the table is thus spread over many tasks. The order is (slice, ``order``): any
+    A group is dealt into slices by a hash of ``order``; rows are numbered inside their slice and
+    shifted by the rows of the slices before it. A slice has about ``rows_per_slice`` rows, or the
+    square root of the group's size if that is more, so that neither a slice nor the list of a
+    group's slices gets long. A group holding a third of the table is spread over many tasks. The order is (slice, ``order``): any
     two runs agree, and rows equal in all of ``order`` are interchangeable. ``group`` columns
     must not be null. ``groups_bounded`` says that the number of groups has a bound that does not
     depend on the table, so that their counts may be broadcast.
@@ -23,7 +24,7 @@ def ranked(
     sliced = df.join(F.broadcast(counts) if groups_bounded else counts, group).withColumn(
         "__slice",
         F.expr(f"pmod(xxhash64({', '.join(f'`{c}`' for c in order)}), "
-               f"cast(ceil(__n / {float(rows_per_slice)}) as bigint))"),
+               f"cast(ceil(__n / greatest({float(rows_per_slice)}, sqrt(__n))) as bigint))"),
     ).drop("__n")
     before = (
         sliced.groupBy(*group, "__slice").agg(F.count(F.lit(1)).alias("__c"))
