@@ -116,12 +116,20 @@ def assign_shards(
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, **options) -> None:
-    """Write ``docs`` as one folder per shard, rows in the order of the curve."""
-    places = assign_shards(docs, shards, **options).select("__file", "__row", "shard", "slot")
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, **options) -> str:
+    """Write ``docs`` as one folder per shard, rows in the order of the curve.
+
+    Returns the name of the folders' column: ``shard``, with underscores where ``docs`` has one.
+    """
+    name = "shard"
+    while name in docs.columns:
+        name += "_"
+    places = assign_shards(docs, shards, **options).select(
+        "__file", "__row", F.col("shard").alias(name), F.col("slot").alias("__slot"))
     rows = addressed(docs).join(places, ["__file", "__row"]).drop("__file", "__row")
-    (rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").drop("slot")
-     .write.partitionBy("shard").parquet(path))
+    (rows.repartitionByRange(name, "__slot").sortWithinPartitions(name, "__slot").drop("__slot")
+     .write.partitionBy(name).parquet(path))
+    return name
 
 
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

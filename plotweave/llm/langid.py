@@ -34,6 +34,12 @@ def sampled(rows: DataFrame, id_column: str, at_most: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.col(id_column)), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
+def ngrams(word: str, size: int) -> list[str]:
+    """Runs of characters of a word with its start and end marked; single ones without marks."""
+    edged = word if size == 1 else f"^{word}$"
+    return [edged[i:i + size] for i in range(len(edged) - size + 1)]
+
+
 class Model:
     """Log frequencies of words and n-grams by language."""
 
@@ -44,10 +50,9 @@ class Model:
         gram: dict[str, list[float]] = defaultdict(lambda: [0.0] * len(place))
         for w, lang, n in counts:
             word[w][place[lang]] += n
-            edged = f"^{w}$"
             for size in range(1, GRAM + 1):
-                for i in range(len(edged) - size + 1):
-                    gram[edged[i:i + size]][place[lang]] += n
+                for g in ngrams(w, size):
+                    gram[g][place[lang]] += n
         top = sorted(gram.items(), key=lambda x: (-sum(x[1]), x[0]))[:MODEL_GRAMS]
         self.place: dict[str, int] = {}  # of a word, or of an n-gram after a blank
         logs = [np.zeros((0, len(place)))]
@@ -63,10 +68,8 @@ class Model:
         at = self.place.get(word)
         if at is not None:
             return self.logs[at]
-        edged = f"^{word[:64]}$"
         for size in range(GRAM, 0, -1):
-            found = [at for i in range(len(edged) - size + 1)
-                     if (at := self.place.get(" " + edged[i:i + size])) is not None]
+            found = [at for g in ngrams(word[:64], size) if (at := self.place.get(" " + g)) is not None]
             if found:
                 return self.logs[found].mean(axis=0)
         return np.zeros(len(self.languages), np.float32)
