@@ -27,17 +27,36 @@ def without_space(text: Column) -> Column:
     return text
 
 
+def _plain_scan(df: DataFrame) -> bool:
+    """Whether the frame is files with projections and filters only, so that a row of it is one
+    row of one file."""
+    todo = [df._jdf.queryExecution().analyzed()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() not in ("Project", "Filter", "SubqueryAlias", "LogicalRelation", "Relation"):
+            return False
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return True
+
+
 def addressed(df: DataFrame) -> DataFrame:
     """Add ``__file`` and ``__row``, which name a row of the stored table and hold in any rerun.
 
     They come from the Parquet reader (a hash of the file's path, the row's index in it). A frame
-    that isn't read from files directly is written to the shared folder first.
+    that isn't a scan of files is written to the shared folder first; one that has addresses
+    stays as it is. The two names are reserved.
     """
+    if {"__file", "__row"} <= set(df.columns):
+        return df
+
     def at(x: DataFrame) -> DataFrame:
         meta = x.metadataColumn("_metadata")
         return x.withColumns({"__file": F.xxhash64(meta["file_path"]), "__row": meta["row_index"]})
 
-    try:
-        return at(df)
-    except AnalysisException:
-        return at(staged(df, "rows"))
+    if _plain_scan(df):
+        try:
+            return at(df)
+        except AnalysisException:  # files of another kind
+            pass
+    return at(staged(df, "rows"))

@@ -141,8 +141,9 @@ def exact_dedup(
 
 def drop_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with one row of every class of equal texts, all its columns unchanged."""
-    gone = exact_dedup(docs, text, key).where("not kept").select("__file", "__row")
-    return addressed(docs).join(gone, ["__file", "__row"], "left_anti").select(
+    rows = addressed(docs)
+    gone = exact_dedup(rows, text, key).where("not kept").select("__file", "__row")
+    return rows.join(gone, ["__file", "__row"], "left_anti").select(
         *[f"`{c}`" for c in docs.columns]
     )
 

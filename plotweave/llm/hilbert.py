@@ -124,9 +124,10 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, **options) ->
     name = "shard"
     while name in docs.columns:
         name += "_"
-    places = assign_shards(docs, shards, **options).select(
+    addresses = addressed(docs)
+    places = assign_shards(addresses, shards, **options).select(
         "__file", "__row", F.col("shard").alias(name), F.col("slot").alias("__slot"))
-    rows = addressed(docs).join(places, ["__file", "__row"]).drop("__file", "__row")
+    rows = addresses.join(places, ["__file", "__row"]).drop("__file", "__row")
     (rows.repartitionByRange(name, "__slot").sortWithinPartitions(name, "__slot").drop("__slot")
      .write.partitionBy(name).parquet(path))
     return name

@@ -169,10 +169,11 @@ def mix(
 
 def mixed(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
     """``docs`` with every row as often as the mix takes it, all columns unchanged."""
-    copies = mix(docs, text, key, source).where("copies > 0").select(
+    rows = addressed(docs)
+    copies = mix(rows, text, key, source).where("copies > 0").select(
         "__file", "__row", F.col("copies").alias("__copies"))
     return (
-        addressed(docs).join(copies, ["__file", "__row"])
+        rows.join(copies, ["__file", "__row"])
         .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
         .select(*[f"`{c}`" for c in docs.columns])
     )

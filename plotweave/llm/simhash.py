@@ -216,12 +216,13 @@ def simhash_groups(
 
 def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", *, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of every component: the smallest id, then the first by address."""
-    groups = staged(simhash_groups(docs, text, key, radius=radius).select(
+    rows = addressed(docs)
+    groups = staged(simhash_groups(rows, text, key, radius=radius).select(
         "component", "__file", "__row", F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"),
                                                  "__file", "__row").alias("place")), "groups")
     first = groups.groupBy("component").agg(F.min("place").alias("stays"))
     gone = groups.join(first, "component").where("place <> stays").select("__file", "__row")
-    return addressed(docs).join(gone, ["__file", "__row"], "left_anti").select(
+    return rows.join(gone, ["__file", "__row"], "left_anti").select(
         *[f"`{c}`" for c in docs.columns]
     )
 

@@ -591,3 +591,13 @@ def test_pipeline_of_odd_tables(spark, odd):
     for _, stage in corpus_pipeline.STAGES:
         now = stage(spark, now, "")
     assert now.count() == 0
+
+
+def test_addresses(spark, odd):
+    from plotweave.llm.common import _plain_scan, addressed
+    assert _plain_scan(odd.where("doc_id > 3").select("doc_id", "text")) and addressed(addressed(odd)).columns == addressed(odd).columns
+    doubled = odd.withColumn("twice", F.explode(F.array(F.lit(1), F.lit(2))))
+    assert not _plain_scan(doubled)
+    a = addressed(doubled)
+    assert a.select("__file", "__row").distinct().count() == a.count() == 2 * len(ROWS)
+    assert exact_dedup.drop_copies(doubled).count() == len(dedup_classes(ROWS))
