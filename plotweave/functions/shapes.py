@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plotweave.functions.geometry import RINGS
+
 
 def convex_hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     """Corners counter-clockwise, by Andrew's monotone chain."""
@@ -81,6 +83,28 @@ def circle_area(rings: pd.Series) -> pd.Series:
     return rings.map(lambda r: math.pi * enclosing_radius(_corners(r)) ** 2).astype(float)
 
 
+def clip_ring(ring: list[tuple[float, float]], theta: float, threshold: float, left: bool) -> list[tuple[float, float]]:
+    """The part of a ring on one side of a sweep line (Sutherland and Hodgman, 1974)."""
+    far = [(-math.sin(theta) * x + math.cos(theta) * y - threshold) * (1 if left else -1) for x, y in ring]
+    out: list[tuple[float, float]] = []
+    for (a, da), (b, db) in zip(zip(ring, far), zip(ring[1:] + ring[:1], far[1:] + far[:1])):
+        if da < 0:
+            out.append(a)
+        if (da < 0) != (db < 0):
+            t = da / (da - db)
+            out.append((a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])))
+    return out if len(out) > 2 else []
+
+
+def clip_half_plane(rings, theta, threshold, left: bool):
+    """Polygons cut by a line: the side ``left`` or right of it, as a column of rings."""
+    def one(r, t, c):
+        parts = [clip_ring([(p["x"], p["y"]) for p in ring], t, c, left) for ring in r or []]
+        return [[{"x": x, "y": y} for x, y in part] for part in parts if part]
+
+    return F.udf(one, RINGS)(rings, theta, threshold)
+
+
 def convex_hull_ratio(area, hull):
     """Area over the hull's; 0 where the hull has none."""
     return F.when(hull == 0, F.lit(0.0)).otherwise(area / hull)

@@ -146,15 +146,26 @@ def mainland(components: DataFrame) -> DataFrame:
     return sizes.withColumn("is_mainland", F.row_number().over(best) == 1)
 
 
-def nearest(points: DataFrame, targets: DataFrame, cell: float = 1.0, max_doublings: int = 64) -> DataFrame:
+def spacing(points: DataFrame) -> float:
+    """A cell size at which the points of the densest state fill about one cell each."""
+    box = points.groupBy("state_code").agg(
+        (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"), F.count(F.lit(1)).alias("n"))
+    wide = box.agg(F.min(F.sqrt(F.greatest(F.col("w") * F.col("h"), F.col("w") * F.col("w") / F.col("n"),
+                                           F.col("h") * F.col("h") / F.col("n")) / F.col("n")))).first()[0]
+    return float(wide) if wide else 1.0
+
+
+def nearest(points: DataFrame, targets: DataFrame, cell: float | None = None, max_doublings: int = 64) -> DataFrame:
     """For every point the nearest target of its state; the lowest ``unit_id`` among equals.
 
     Points meet the targets of the nine grid cells around them; a target no farther than a cell is
     certainly the nearest. The points left over meet cells twice as large, and so on, so the work
     follows how sparse the points are and no point meets all targets. ``points`` and ``targets``
     have ``state_code``, ``unit_id``, ``x``, ``y``; returns ``state_code``, ``unit_id``,
-    ``nearest``, ``distance``. Points of states without targets are left out.
+    ``nearest``, ``distance``. Points of states without targets are left out. The first cells are
+    as large as the targets are apart, unless ``cell`` says otherwise.
     """
+    cell = cell or spacing(targets)
     cell_of = lambda c, size: F.floor(F.col(c) / size).cast("long")
     rest = staged(points.select("state_code", "unit_id", "x", "y").join(
         targets.select("state_code").distinct(), "state_code", "left_semi"), "points")
@@ -183,7 +194,7 @@ def nearest(points: DataFrame, targets: DataFrame, cell: float = 1.0, max_doubli
     return done
 
 
-def water_edges(units: DataFrame, edges: DataFrame, cell: float = 1.0) -> DataFrame:
+def water_edges(units: DataFrame, edges: DataFrame, cell: float | None = None) -> DataFrame:
     """Edges of length 0 from every unit off the mainland to the nearest one on it.
 
     Only in states that have edges and more than one component. ``units`` has ``cx``, ``cy``.
@@ -197,7 +208,7 @@ def water_edges(units: DataFrame, edges: DataFrame, cell: float = 1.0) -> DataFr
                         F.greatest("unit_id", "nearest").alias("dst"), F.lit(0.0).alias("length"))
 
 
-def adjacency(units: DataFrame, grid: float = 1e-3, cell: float = 1.0) -> DataFrame:
+def adjacency(units: DataFrame, grid: float = 1e-3, cell: float | None = None) -> DataFrame:
     """All edges: ``state_code``, ``src``, ``dst``, ``length``, ``is_synthetic``."""
     real = staged(shared_edges(units, grid), "edges")
     water = water_edges(units, real, cell)

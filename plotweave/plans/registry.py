@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotweave.functions import geometry, shapes
-from plotweave.operators import adjacency, balance, fragments, partitioners, ranking, sweeps
-from plotweave.plans import apportionment, lattice
+from plotweave.operators import adjacency, balance, dissolve, fragments, partitioners, ranking, sweeps
+from plotweave.plans import apportionment, experiments, lattice
 from plotweave.plans.lattice import table
 from plotweave.sources.workspace import staged
+from plotweave.streaming import ledger
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -177,7 +178,6 @@ SELECT p.state_code, p.district_id, 4 * count(*) - 2 * coalesce(max(n), 0) AS se
 FROM part p LEFT JOIN inner_edges i ON i.state_code = p.state_code AND i.district_id = p.district_id GROUP BY ALL""")
 def dissolve_boundary(spark, sf_dir):
     u = lattice.units(spark, sf_dir)
-    from plotweave.operators import dissolve
     return dissolve.boundary_lengths(lattice.squares(u), lattice.scattered(u))
 
 
@@ -367,7 +367,6 @@ def ring_bounds(spark, sf_dir):
 @query("point_in_polygon", f"""WITH {UNITS} SELECT a.state_code, a.unit_id, b.unit_id AS inside FROM units a JOIN units b
 ON a.state_code = b.state_code AND a.x = b.x AND a.y = b.y""")
 def point_in_polygon(spark, sf_dir):
-    from plotweave.operators import dissolve
     u = lattice.squares(lattice.units(spark, sf_dir))
     points = u.select("state_code", "unit_id", geometry.representative_point(F.col("rings")).alias("p")).select(
         "state_code", "unit_id", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
@@ -470,6 +469,35 @@ def tier_rollup(spark, sf_dir):
         F.count(F.lit(1)).alias("states"), F.sum("ok").alias("ok"), F.sum("failed").alias("failed"))
 
 
+@query("status_counts", f"""WITH {RESULTS} SELECT experiment, count(*) AS total, count(*) FILTER (status IN ('ok', 'skipped')) AS ok,
+  count(*) FILTER (status = 'failed') AS failed FROM results GROUP BY experiment""")
+def status_counts(spark, sf_dir):
+    return ranking.status_counts(lattice.results(spark, sf_dir), ["experiment"])
+
+
+@query("remaining_problems", f"""WITH {TRIALS}, e AS (SELECT DISTINCT experiment FROM trials),
+x AS (SELECT experiment, CAST(i AS INTEGER) AS trial FROM e CROSS JOIN range(20) r(i))
+SELECT 'ALL' AS state_code, x.experiment, x.trial FROM x LEFT JOIN trials t ON t.experiment = x.experiment AND t.trial_index = x.trial
+  AND t.status = 'ok' WHERE t.experiment IS NULL""")
+def remaining_problems(spark, sf_dir):
+    t = lattice.trials(spark, sf_dir).select(F.lit("ALL").alias("state_code"), "experiment", F.col("trial_index").alias("trial"), "status")
+    plan = t.select("state_code", "experiment").distinct().withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    return experiments.remaining(plan, t.where("status = 'ok'"))
+
+
+@query("seats_by_state", """SELECT n_name AS state_code, CAST(NULL AS INTEGER) AS districts FROM nation
+UNION ALL SELECT 'tx', 38 UNION ALL SELECT 'Wy', 1""")
+def seats_by_state(spark, sf_dir):
+    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("state_code"))
+    return apportionment.with_seats(names.unionAll(spark.createDataFrame([("tx",), ("Wy",)], "state_code string")))
+
+
+@query("unknown_states", "SELECT n_name AS state_code FROM nation")
+def unknown_states(spark, sf_dir):
+    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("state_code"))
+    return apportionment.unknown_states(names.unionAll(spark.createDataFrame([("tx",), ("Wy",)], "state_code string")))
+
+
 @query("task_ready_set", """SELECT o_orderkey AS task FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey NOT IN (
   SELECT l_orderkey FROM lineitem WHERE l_linestatus <> 'F')""")
 def task_ready_set(spark, sf_dir):
@@ -502,7 +530,6 @@ def tiers(spark, sf_dir):
 @query("trial_plan", f"""WITH {UNITS} SELECT DISTINCT state_code, e.experiment, CAST(t.trial AS INTEGER) AS trial, CAST(42 + t.trial AS BIGINT) AS seed, 3 AS k
 FROM units CROSS JOIN (VALUES ('metis'), ('metis+kl')) e(experiment) CROSS JOIN range(3) t(trial)""")
 def trial_plan(spark, sf_dir):
-    from plotweave.plans import experiments
     return experiments.plan_trials(lattice.units(spark, sf_dir), ["metis", "metis+kl"], 3, k=3).select(
         "state_code", "experiment", "trial", "seed", "k")
 
@@ -511,7 +538,6 @@ def trial_plan(spark, sf_dir):
 
 
 def _problems(u: DataFrame, experiment: str, k: int = 3, trials: int = 1) -> DataFrame:
-    from plotweave.plans import experiments
     return experiments.plan_trials(u, [experiment], trials, k=k)
 
 
@@ -579,7 +605,6 @@ def repair_contiguity(spark, sf_dir):
 
 @query("compare_experiments")
 def compare_experiments(spark, sf_dir):
-    from plotweave.plans import experiments
     u, e = _base(spark, sf_dir)
     small = u.where("state_code in ('S0', 'S1')")
     return experiments.compare(staged(small, "units"), staged(e.where("state_code in ('S0', 'S1')"), "edges"), k=3,
@@ -590,12 +615,10 @@ def compare_experiments(spark, sf_dir):
 @query("streaming_ledger", """SELECT user_id % 50 AS state_code, event_id, ts, event_type AS status, value AS elapsed_seconds FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts DESC, event_id DESC) = 1""")
 def streaming_ledger(spark, sf_dir):
-    from plotweave.streaming import ledger
     return ledger.latest_of_events(spark, f"{sf_dir}/events.parquet")
 
 
 @query("streaming_window_mean", """SELECT event_type, time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '2024-01-01') AS window_start, count(*) AS samples,
   round(avg(value), 8) AS window_mean FROM events GROUP BY ALL""")
 def streaming_window_mean(spark, sf_dir):
-    from plotweave.streaming import ledger
     return ledger.window_means(spark, f"{sf_dir}/events.parquet")

@@ -92,7 +92,7 @@ def fingerprint(units: DataFrame) -> str:
     return f"{(row['x'] or 0) & (2**64 - 1):016x}-{row['n']}"
 
 
-def cached_edges(units: DataFrame, root: str | None = None, cell: float = 1.0) -> DataFrame:
+def cached_edges(units: DataFrame, root: str | None = None, cell: float | None = None) -> DataFrame:
     """The edges of ``units``, computed once and stored under their version and checksum.
 
     Changed units have another checksum, so edges are never read for units they don't belong to.

@@ -130,3 +130,13 @@ def test_components_of_paths_and_ties(spark):
     got = {r["node"]: r["component"] for r in connected_components(e).collect()}
     assert got == {i: 0 if i <= 30 else 31 for i in range(61)}
     assert connected_components(e.limit(0)).count() == 0
+
+
+def test_split_by_a_line(spark):
+    r = F.col("rings")
+    sides = [geometry.area(shapes.clip_half_plane(r, F.lit(0.3), F.lit(1.0), left)) for left in (True, False)]
+    a, b, whole = one(spark, grids.ring(0, 0, 4, 3), *sides, geometry.area(r))
+    assert a + b == pytest.approx(whole) and 0 < a < whole
+    box = geometry.bounds(r)
+    line = one(spark, grids.ring(0, 0, 4, 3), geometry.cut_line(box, F.lit(0.3), F.lit(1.0)))[0]
+    assert math.hypot(line["b"]["x"] - line["a"]["x"], line["b"]["y"] - line["a"]["y"]) == pytest.approx(22)

@@ -71,3 +71,13 @@ def test_ranked(spark):
     assert [(r["g"], r["n"], r["low"], r["high"], r["u"]) for r in got.groupBy("g").agg(
         F.count("*").alias("n"), F.min("rank").alias("low"), F.max("rank").alias("high"), F.countDistinct("rank").alias("u")).orderBy("g").collect()
     ] == [(0, 167, 0, 166, 167), (1, 167, 0, 166, 167), (2, 166, 0, 165, 166)]
+
+
+def test_telemetry(spark, tmp_path):
+    from plotweave.streaming import telemetry
+    telemetry.sample(tmp_path / "cpu", 3, 0.0, iter([10.0, 20.0, 60.0]).__next__)
+    stream = telemetry.follow_samples(spark, str(tmp_path / "cpu"))
+    out = ledger.windowed_mean(stream, "ts", "cpu_pct", "1 hour", "1 minute")
+    q = out.writeStream.outputMode("complete").format("memory").queryName("load").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("load").agg(F.sum("samples"), F.avg("window_mean")).first()[0] == 3
