@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.sources.workspace import staged
+from plotweave.sources.workspace import discard, staged
 
 
 def connected_components(
@@ -55,7 +55,9 @@ def connected_components(
             ),
             "labels",
         )
-        labels = after.select("node", "label")
+        discard(moved, labels)  # earlier rounds are not read again
+        labels = after
         if after.where("changed").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+            discard(e)
+            return labels.select("node", F.col("label").alias("component"))
     raise RuntimeError(f"labels still change after {max_rounds} rounds")

@@ -6,6 +6,8 @@ re-read of a file and never the recomputation of a whole loop.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,14 +18,20 @@ def shared_root(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; only where that is unset, one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="plotweave-")
+        own = tempfile.mkdtemp(prefix="plotweave-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        root = f"file://{own}"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+def _session_folder(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/plotweave/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/plotweave/{uuid.uuid4().hex}/{name}"
+    return f"{_session_folder(spark)}/{uuid.uuid4().hex}/{name}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -31,4 +39,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged_path = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again, such as a loop's earlier rounds."""
+    for table in tables:
+        _delete(table.sparkSession, table._staged_path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all working tables of this session; frames that read them can't be used after."""
+    _delete(spark, _session_folder(spark))

@@ -81,3 +81,13 @@ def test_telemetry(spark, tmp_path):
     q = out.writeStream.outputMode("complete").format("memory").queryName("load").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("load").agg(F.sum("samples"), F.avg("window_mean")).first()[0] == 3
+
+
+def test_working_tables(spark):
+    from plotweave.sources import workspace
+    t = workspace.staged(spark.range(3), "t")
+    assert t.count() == 3 and t._staged_path.startswith(workspace.shared_root(spark))
+    workspace.discard(t)
+    from pyspark.errors import AnalysisException
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(t._staged_path)
