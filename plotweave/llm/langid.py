@@ -23,7 +23,7 @@ TRAIN_ROWS, MODEL_WORDS, MODEL_GRAMS, GRAM = 20_000, 150_000, 200_000, 5
 UNKNOWN = "und"
 #: Words whose scores a worker remembers; beyond it the memory starts anew.
 REMEMBERED = 400_000
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = re.compile(r"[^\W\d_]+")  # runs of letters, and of numbers that aren't digits
 
 
 def sampled(rows: DataFrame, id_column: str, at_most: int) -> DataFrame:
@@ -92,7 +92,7 @@ class Scorer:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = LETTERS.findall((text or "").lower())
-        if not words or not self.model.languages:
+        if not self.model.languages or not any(w.isalpha() or any(map(str.isalpha, w)) for w in words):
             return UNKNOWN, 0.0
         if len(self.known) > REMEMBERED:
             self.known = {}

@@ -399,6 +399,8 @@ def test_language_of_odd_tables(spark, odd, docs):
     got = Counter((r["doc_id"], r["__lang"] == "und") for r in rows_of(langid.predict(odd, model, carry=["doc_id"])))
     assert got == Counter((i, not re.search(r"[^\W\d_]", t or "")) for i, t, *_ in ROWS)
     assert langid.keep_identified(odd).columns == odd.columns
+    signs = spark.createDataFrame([(1, "² ½ 5"), (2, "²a")], "doc_id long, text string")
+    assert {r["doc_id"]: r["__lang"] == "und" for r in rows_of(langid.predict(signs, model, carry=["doc_id"]))} == {1: True, 2: False}
     nothing = langid.fit(odd.where("false"), "text", "lang")
     assert {r["__lang"] for r in rows_of(langid.predict(odd, nothing, carry=["doc_id"]))} == {"und"}
 
