@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def ranked(
-    df: DataFrame, group: list[str], order: list[str], *, rows_per_slice: int = 500,
+    df: DataFrame, group: list[str], order: list[str], *, rows_per_slice: int = 200,
     groups_bounded: bool = False, name: str = "rank",
 ) -> DataFrame:
     """Add a gapless 0-based position within each group of ``group``.
