@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plotweave.llm.common import table, text_of
@@ -27,8 +27,9 @@ from plotweave.llm.common import table, text_of
 SAMPLES, SHINGLE, SEED = 256, 5, 11
 #: Gamma triples in the table (a power of two), weights with tables, terms weighed at once.
 POOL, TABLED, CHUNK = 1 << 16, 8, 4096
-#: Texts that a task should get, in bytes, when documents are dealt by id.
-TASK_BYTES = 32 << 20
+#: Texts that a task should get, in bytes, when documents are dealt by id, and the most ranges
+#: that ids are dealt into; beyond it tasks stream longer ranges.
+TASK_BYTES, MAX_RANGES = 32 << 20, 50_000
 #: Words whose hashes a worker remembers; beyond it the memory starts anew.
 REMEMBERED = 500_000
 
@@ -120,6 +121,14 @@ class Sampler:
         return (_mix(term + level.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)) >> np.uint64(48)).astype(np.uint16)
 
 
+_SAMPLERS: dict[int, Sampler] = {}
+
+
+def sampler_of(samples: int) -> Sampler:
+    """The worker's sampler, kept from task to task."""
+    return _SAMPLERS.get(samples) or _SAMPLERS.setdefault(samples, Sampler(samples))
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 
@@ -135,7 +144,7 @@ def _pairs(samples: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        sampler, held = Sampler(samples), None
+        sampler, held = sampler_of(samples), None
         names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         for b in batches:
@@ -157,9 +166,26 @@ def _pairs(samples: int):
     return run
 
 
+def _not_above(cuts: list[int], value: Column) -> Column:
+    """How many of the ascending cuts are not above the value, by binary search."""
+    if not cuts:
+        return F.lit(0)
+    array = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")  # folded into one literal
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        under = (s["low"] < s["high"]) & (F.get(array, middle) <= value)
+        return F.struct(F.when(under, middle + 1).otherwise(s["low"]).alias("low"),
+                        F.when(under, s["high"]).otherwise(F.least(s["high"], middle)).alias("high"))
+
+    steps = F.array(*[F.lit(i) for i in range(len(cuts).bit_length() + 1)])
+    return F.aggregate(steps, start, halve, lambda s: s["low"])
+
+
 def _sign(samples: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(samples)
+        sampler = sampler_of(samples)
         for b in batches:
             prints = [sampler.signature(t).astype(">u2").tobytes().hex() for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(prints, pa.string())], names=["id", "fingerprint"])
@@ -189,17 +215,13 @@ def compare_with_next(docs: DataFrame, text: str = "text", key: str = "doc_id",
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), text_of(text).alias("t"))
     ids = rows.select("id", F.octet_length("t").alias("size"))
-    total = ids.agg(F.sum("size")).first()[0]
-    if total is None:
-        parts = 1
-    else:
-        parts = int(total // task_bytes) + 1
+    total = ids.agg(F.sum("size")).first()[0] or 0
+    parts = min(int(total // task_bytes) + 1, MAX_RANGES)
     shares = [i / parts for i in range(1, parts)]
-    cuts = sorted(set(ids.agg(F.percentile_approx("id", shares, 100 * parts)).first()[0] or [])) if shares else []
+    found = ids.agg(F.percentile_approx("id", shares, 100 * parts)).first()[0] if shares else None
+    cuts = sorted(set(found or []))
     # Ranges in descending order of ids; a null id is in the last one.
-    edges = F.array(*[F.lit(c).cast("long") for c in cuts]).cast("array<long>")
-    part = F.when(F.col("id").isNull(), len(cuts)).otherwise(
-        F.size(F.filter(edges, lambda c: c > F.col("id"))))
+    part = F.when(F.col("id").isNull(), len(cuts)).otherwise(len(cuts) - _not_above(cuts, F.col("id")))
     placed = rows.withColumn("part", part)
     # The first row of each range, by (id, text): a row for each range.
     firsts = (

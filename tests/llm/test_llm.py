@@ -603,3 +603,12 @@ def test_addresses(spark, odd):
     a = addressed(doubled)
     assert a.select("__file", "__row").distinct().count() == a.count() == 2 * len(ROWS)
     assert exact_dedup.drop_copies(doubled).count() == len(dedup_classes(ROWS))
+
+
+def test_search_among_cuts(spark):
+    rng = random.Random(6)
+    for n in (0, 1, 2, 3, 7, 8, 100):
+        cuts = sorted(rng.sample(range(-50, 200), n))
+        df = spark.range(300).select((F.col("id") - 75).alias("v"))
+        got = {r["v"]: r["n"] for r in df.select("v", weighted._not_above(cuts, F.col("v")).alias("n")).collect()}
+        assert got == {v: sum(c <= v for c in cuts) for v in got}
