@@ -2,13 +2,13 @@
 
 The model is counted on a bounded sample of labelled documents. A known word adds its logarithmic
 frequency in every language. An unseen word falls back to its character n-grams of the greatest
-length of which at least one is known, so the evidence gets shorter only as far as it must.
+length of which at least one is known, so the evidence gets shorter only as far as it must. Every
+word and n-gram of the sample is kept.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from plotweave.llm.common import table, text_of
 
-#: Bounds of the model: labelled rows it is counted on (about), words and n-grams that it keeps.
-TRAIN_ROWS, MODEL_WORDS, MODEL_GRAMS, GRAM = 20_000, 150_000, 200_000, 5
+#: Labelled rows that the model is counted on (about), the longest n-grams, words counted at once.
+TRAIN_ROWS, GRAM, CHUNK = 20_000, 5, 20_000
 UNKNOWN = "und"
 #: Words whose scores a worker remembers; beyond it the memory starts anew.
 REMEMBERED = 400_000
@@ -40,38 +40,67 @@ def ngrams(word: str, size: int) -> list[str]:
     return [edged[i:i + size] for i in range(len(edged) - size + 1)]
 
 
+def _logs(counts: np.ndarray) -> np.ndarray:
+    n = counts + 0.5
+    return np.log(n / n.sum(axis=0)).astype(np.float32)
+
+
 class Model:
-    """Log frequencies of words and n-grams by language."""
-
-    def __init__(self, counts: list[tuple[str, str, int]]):
-        self.languages = sorted({lang for _, lang, _ in counts})
-        place = {lang: i for i, lang in enumerate(self.languages)}
-        word: dict[str, list[float]] = defaultdict(lambda: [0.0] * len(place))
-        gram: dict[str, list[float]] = defaultdict(lambda: [0.0] * len(place))
-        for w, lang, n in counts:
-            word[w][place[lang]] += n
-            for size in range(1, GRAM + 1):
-                for g in ngrams(w, size):
-                    gram[g][place[lang]] += n
-        top = sorted(gram.items(), key=lambda x: (-sum(x[1]), x[0]))[:MODEL_GRAMS]
-        self.place: dict[str, int] = {}  # of a word, or of an n-gram after a blank
-        logs = [np.zeros((0, len(place)))]
-        by_size = [{f" {g}": n for g, n in top if len(g) == size} for size in range(1, GRAM + 1)]
-        for counted in [word, *by_size]:
-            if counted:
-                n = np.array(list(counted.values())) + 0.5
-                self.place.update(zip(counted, range(len(self.place), len(self.place) + len(n))))
-                logs.append(np.log(n / n.sum(axis=0)))
-        self.logs = np.concatenate(logs).astype(np.float32)
+    """Log frequencies of words and n-grams by language.
+
+    Words travel as one Arrow array; a worker makes its dictionary of them when it needs it.
+    """
+
+    def __init__(self, counts: pa.Table | list[tuple[str, str, int]]):
+        if not isinstance(counts, pa.Table):
+            counts = pa.table([pa.array(c) for c in zip(*counts)] or [[], [], []], names=["word", "lang", "n"])
+        word, lang = (counts[c].cast(pa.large_string()).combine_chunks().dictionary_encode() for c in ("word", "lang"))
+        self.languages = sorted(lang.dictionary.to_pylist())
+        place = {x: i for i, x in enumerate(self.languages)}
+        columns = np.array([place[x] for x in lang.dictionary.to_pylist()], np.int64)
+        self.words: pa.Array = word.dictionary
+        table = np.zeros((len(self.words), len(place)))
+        if len(counts):
+            np.add.at(table, (word.indices.to_numpy(), columns[lang.indices.to_numpy()]), counts["n"].to_numpy())
+        self.word_logs, self._known = _logs(table), None
+        self.grams: dict[str, int] = {}
+        self._count_grams(table)
+
+    def _count_grams(self, table: np.ndarray) -> None:
+        grams, sums = self.grams, np.zeros((0, len(self.languages)))
+        for i in range(0, len(self.words), CHUNK):
+            at, lengths = [], []
+            for w in self.words[i:i + CHUNK].to_pylist():
+                before = len(at)
+                for size in range(1, GRAM + 1):
+                    at += [grams.setdefault(g, len(grams)) for g in ngrams(w, size)]
+                lengths.append(len(at) - before)
+            of = np.repeat(np.arange(i, i + len(lengths)), lengths)
+            more = np.stack([np.bincount(at, column[of], len(grams)) for column in table.T], axis=1)
+            more[:len(sums)] += sums
+            sums = more
+        self.gram_logs = np.zeros(sums.shape, np.float32)
+        sizes = np.fromiter(map(len, grams), np.int64, len(grams))
+        for size in range(1, GRAM + 1):
+            self.gram_logs[sizes == size] = _logs(sums[sizes == size])
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_known": None}
+
+    def known(self) -> dict[str, int]:
+        """Places of the words in ``word_logs``."""
+        if self._known is None:
+            self._known = dict(zip(self.words.to_pylist(), range(len(self.words))))
+        return self._known
 
     def score(self, word: str) -> np.ndarray:
-        at = self.place.get(word)
+        at = self.known().get(word)
         if at is not None:
-            return self.logs[at]
+            return self.word_logs[at]
         for size in range(GRAM, 0, -1):
-            found = [at for g in ngrams(word[:64], size) if (at := self.place.get(" " + g)) is not None]
+            found = [at for g in ngrams(word[:64], size) if (at := self.grams.get(g)) is not None]
             if found:
-                return self.logs[found].mean(axis=0)
+                return self.gram_logs[found].mean(axis=0)
         return np.zeros(len(self.languages), np.float32)
 
 
@@ -106,17 +135,16 @@ class Scorer:
 def fit(docs: DataFrame, text: str, lang: str, *, rows: int = TRAIN_ROWS, key: str = "doc_id") -> Model:
     """Count a model on ``docs``, all of which must be rows to learn from.
 
-    ``rows`` bounds the sample. The words are counted by Spark; the driver gets the
-    ``MODEL_WORDS`` most frequent (word, language) pairs, whose n-grams make the backoff.
+    ``rows`` bounds the sample. The words are counted by Spark; the driver gets every (word,
+    language) pair of it, whose n-grams make the backoff.
     """
     words = F.regexp_extract_all(F.lower(text_of(text)), F.lit(r"(\p{L}+)"), F.lit(1))
     counts = (
         sampled(docs.where(F.col(lang).isNotNull()), key, rows)
         .select(F.col(lang).cast("string").alias("lang"), F.explode(words).alias("word"))
         .groupBy("word", "lang").agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "word", "lang").limit(MODEL_WORDS).collect()
     )
-    return Model([(r["word"], r["lang"], r["n"]) for r in counts])
+    return Model(counts.toArrow())
 
 
 def _predict(model: Model):

@@ -412,6 +412,20 @@ def test_backoff_gets_shorter():
     assert model.score("漢").tolist() == [0, 0]
 
 
+def test_model_keeps_every_pair_and_ngram(spark):
+    letters = "translate(lpad(conv(cast(pmod(xxhash64({0}), 11881376) * 16000 + {0} as string), 10, 26), 9, '0'), '0123456789', 'qrstuvwxyz')"
+    rows = spark.range(160_000).select(F.lower(F.expr(letters.format("id"))).alias("w"), (F.col("id") % 16).alias("doc_id"))
+    docs = rows.groupBy("doc_id").agg(F.concat_ws(" ", F.collect_list("w")).alias("text")).withColumn(
+        "lang", F.when(F.col("doc_id") < 8, "a").otherwise("b"))
+    expected = {(w, r["lang"]) for r in docs.collect() for w in r["text"].split()}
+    model = langid.fit(docs, "text", "lang")
+    assert len(expected) > 155_000 and set(model.known()) == {w for w, _ in expected}
+    grams = {g for w, _ in expected for size in range(1, 6) for g in langid.ngrams(w, size)}
+    assert len(grams) > 200_000 and set(model.grams) == grams
+    for w, lang in sorted(expected)[::5_000]:
+        assert model.languages[int(model.score(w).argmax())] == lang
+
+
 # --- 8 simhash -------------------------------------------------------------------------------
 
 
