@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from plotweave.llm.common import table, text_of
 
-#: Labelled rows that the model is counted on (about), the longest n-grams, words counted at once.
+#: Labelled rows that the model is counted on (about), the longest n-grams, words counted
+#: and n-grams looked up at once.
 TRAIN_ROWS, GRAM, CHUNK = 20_000, 5, 20_000
 UNKNOWN = "und"
 #: Words whose scores a worker remembers; beyond it the memory starts anew.
@@ -98,9 +99,14 @@ class Model:
         if at is not None:
             return self.word_logs[at]
         for size in range(GRAM, 0, -1):
-            found = [at for g in ngrams(word[:64], size) if (at := self.grams.get(g)) is not None]
+            edged, found, total = word if size == 1 else f"^{word}$", 0, np.zeros(len(self.languages))
+            last = len(edged) - size + 1
+            for i in range(0, last, CHUNK):
+                part = [at for j in range(i, min(i + CHUNK, last)) if (at := self.grams.get(edged[j:j + size])) is not None]
+                total += self.gram_logs[part].sum(axis=0, dtype=np.float64)
+                found += len(part)
             if found:
-                return self.gram_logs[found].mean(axis=0)
+                return (total / found).astype(np.float32)
         return np.zeros(len(self.languages), np.float32)
 
 

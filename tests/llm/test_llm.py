@@ -426,6 +426,17 @@ def test_model_keeps_every_pair_and_ngram(spark):
         assert model.languages[int(model.score(w).argmax())] == lang
 
 
+def test_backoff_reads_whole_runs(monkeypatch):
+    model = langid.Model([("abcdef", "en", 5), ("uvwxyz", "de", 5)])
+    run = "abcdef" * 11 + "uvwxyz" * 400
+    found = [model.grams[g] for g in langid.ngrams(run, 5) if g in model.grams]
+    expected = model.gram_logs[found].mean(axis=0, dtype=np.float64)
+    assert langid.Scorer(model).predict(run)[0] == "de"
+    for chunk in (langid.CHUNK, 7):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        assert model.score(run) == pytest.approx(expected, rel=1e-5)
+
+
 # --- 8 simhash -------------------------------------------------------------------------------
 
 
