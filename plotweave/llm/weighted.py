@@ -6,10 +6,12 @@ r, c from Gamma(2, 1) and b from the uniform distribution, all functions of (x,
     t = floor(log(w) / r + b),  y = exp(r (t - b)),  a = c / (y exp(r));
 
 the sample is the (x, t) with the smallest a. Two documents have equal samples with a probability
-equal to their generalised Jaccard similarity, sum of smaller over sum of larger weights. The
-draws come from a table of gamma triples that every worker makes from one seed; a term enters it
-at a place of its own for each k. For small whole weights, t and a are tables as well; the table
-is sorted by a for weight 1, so that among such terms the first place has the smallest a.
+equal to their generalised Jaccard similarity, sum of smaller over sum of larger weights.
+
+The draws are made of three exponential ones, A, B and C, each from a hash of (x, k) of its own:
+c = A + B, r = log(c / A) + C, b = C / r. These have the laws above, and a for weight 1 is A
+itself, so among terms of weight 1 the smallest hash wins. For weight w, a is A exp(-C) / w at
+least, so only terms whose bound is below the smallest a known are drawn in full.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from plotweave.llm.common import table, text_of
 
 SAMPLES, SHINGLE, SEED = 256, 5, 11
-#: Gamma triples in the table (a power of two), weights with tables, terms weighed at once.
-POOL, TABLED, CHUNK = 1 << 16, 8, 4096
+#: Terms weighed at once: of weight 1, and of others.
+CHUNK, HEAVY_CHUNK = 4096, 1024
 #: Texts that a task should get, in bytes, when documents are dealt by id, and the most ranges
 #: that ids are dealt into; beyond it tasks stream longer ranges.
 TASK_BYTES, MAX_RANGES = 32 << 20, 50_000
@@ -41,6 +43,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _uniform(h: np.ndarray) -> np.ndarray:
+    return (h.astype(np.float64) + 0.5) / (1 << 32)
+
+
+def _exponential(h: np.ndarray) -> np.ndarray:
+    """Exponential draws that ascend with their 32-bit hashes."""
+    return -np.log1p(-_uniform(h))
+
+
 class _Hashes(dict):
     """Hashes of words by their UTF-8."""
 
@@ -55,19 +66,20 @@ class Sampler:
     def __init__(self, samples: int = SAMPLES, shingle: int = SHINGLE):
         rng = np.random.Generator(np.random.PCG64(SEED))
         self.samples, self.shingle, self.known = samples, shingle, _Hashes()
-        self.r, self.c, self.b = rng.gamma(2.0, 1.0, POOL), rng.gamma(2.0, 1.0, POOL), rng.random(POOL)
-        # Ascending a for weight 1, the weight of nearly all terms: the first place has the smallest.
-        order = np.argsort(self._draw(np.float64(1), slice(None))[0], kind="stable")
-        self.r, self.c, self.b = self.r[order], self.c[order], self.b[order]
-        tabled = [self._draw(np.float64(w), slice(None)) for w in range(1, TABLED + 1)]
-        self.a = np.stack([a for a, _ in tabled]).astype(np.float32)
-        self.t = np.stack([t for _, t in tabled]).astype(np.int64)
-        self.jump = (rng.integers(0, 1 << 32, samples, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
-
-    def _draw(self, w, at) -> tuple[np.ndarray, np.ndarray]:
-        r, c, b = self.r[at], self.c[at], self.b[at]
+        odd = lambda: (rng.integers(0, 1 << 32, samples, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+        self.jump, self.turn = odd(), odd()
+        self.salt = rng.integers(0, 1 << 64, samples, dtype=np.uint64)
+
+    def _draw(self, k: np.ndarray, term: np.ndarray, w: np.ndarray, first: np.ndarray, third: np.ndarray):
+        """a and t of terms with weights above 1, from their hashes for A and C."""
+        second = _mix(_mix(term + self.salt[k]))
+        e_b = -np.log(((second >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53))
+        e_a, e_c = _exponential(first), -np.log(_uniform(third))
+        c = e_a + e_b
+        r = np.log(c / e_a) + e_c
+        b = e_c / r
         t = np.floor(np.log(w) / r + b)
-        return c * np.exp(-r * (t - b) - r), t
+        return c * np.exp(-r * (t - b) - r), t.astype(np.int64)
 
     def terms(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Distinct shingle hashes in ascending order, and their counts."""
@@ -88,38 +100,42 @@ class Sampler:
         terms, counts = self.terms(text)
         if not len(terms):
             return np.zeros(self.samples, np.uint16)
-        low = np.full(self.samples, np.inf, np.float32)
+        low = np.full(self.samples, np.inf)
         term = np.zeros(self.samples, np.uint64)
         level = np.zeros(self.samples, np.int64)
         rows = np.arange(self.samples)
-        for w in np.unique(np.minimum(counts, TABLED + 1)):
-            of = counts == w if w <= TABLED else counts > TABLED
-            same, heavy = (terms, None) if of.all() else (terms[of], None)
-            if w > TABLED:
-                heavy = counts[of].astype(np.float64)
-            for i in range(0, len(same), CHUNK):
-                part = same[i:i + CHUNK]
-                # A place for each k: the high bits of the term times an odd number of k's own.
-                place = self.jump[:, None] * (part >> np.uint64(32)).astype(np.uint32)[None, :]
-                if w == 1:
-                    best = place.argmin(axis=1)
-                    at = place[rows, best] >> 16
-                    smallest, at_t = self.a[0][at], self.t[0][at]
-                elif heavy is None:
-                    a = self.a[w - 1].take(place >> 16)
-                    best = a.argmin(axis=1)
-                    smallest, at_t = a[rows, best], self.t[w - 1][place[rows, best] >> 16]
-                else:
-                    a, t = self._draw(heavy[None, i:i + CHUNK], place >> 16)
-                    a = a.astype(np.float32)
-                    best = a.argmin(axis=1)
-                    smallest, at_t = a[rows, best], t[rows, best].astype(np.int64)
-                x = part[best]
-                less = (smallest < low) | ((smallest == low) & (x < term))
-                low = np.where(less, smallest, low)
-                term, level = np.where(less, x, term), np.where(less, at_t, level)
+        single = counts == 1
+        light = terms if single.all() else terms[single]
+        for i in range(0, len(light), CHUNK):
+            part = light[i:i + CHUNK]
+            place = self._place(part)
+            best = place.argmin(axis=1)
+            smallest, x = _exponential(place[rows, best]), part[best]
+            less = (smallest < low) | ((smallest == low) & (x < term))
+            low, term = np.where(less, smallest, low), np.where(less, x, term)
+        heavy, weights = (terms[~single], counts[~single].astype(np.float64)) if len(light) < len(terms) else (terms[:0], counts[:0])
+        for i in range(0, len(heavy), HEAVY_CHUNK):
+            part, w = heavy[i:i + HEAVY_CHUNK], weights[i:i + HEAVY_CHUNK]
+            first = self._place(part)
+            third = self.turn[:, None] * part.astype(np.uint32)[None, :]
+            # A above its hash's share and a not above A: what is left can have the smallest a.
+            bound = (first >> np.uint32(16)) * (third >> np.uint32(16))
+            limit = np.minimum(low, _exponential(first.min(axis=1))) * (1 << 32) * (1 + 1e-9)
+            k, j = np.nonzero(bound <= limit[:, None] * w[None, :])
+            a = np.full(first.shape, np.inf)
+            t = np.zeros(first.shape, np.int64)
+            a[k, j], t[k, j] = self._draw(k, part[j], w[j], first[k, j], third[k, j])
+            best = a.argmin(axis=1)
+            smallest, x = a[rows, best], part[best]
+            less = (smallest < low) | ((smallest == low) & (x < term))
+            low = np.where(less, smallest, low)
+            term, level = np.where(less, x, term), np.where(less, t[rows, best], level)
         return (_mix(term + level.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)) >> np.uint64(48)).astype(np.uint16)
 
+    def _place(self, terms: np.ndarray) -> np.ndarray:
+        """Hashes for A, a row for each k: the high bits of a term times an odd number of k's own."""
+        return self.jump[:, None] * (terms >> np.uint64(32)).astype(np.uint32)[None, :]
+
 
 _SAMPLERS: dict[int, Sampler] = {}
 

@@ -274,6 +274,30 @@ def test_heavy_weights():
     assert abs(np.mean(errors)) < 0.01 and np.max(np.abs(errors)) < 0.07
 
 
+@pytest.mark.parametrize("n", [300, 20_000, 100_000])
+def test_many_shingles_with_unequal_counts(n):
+    s, text = weighted.Sampler(), " ".join(f"w{i}" for i in range(n))
+    half = " ".join(f"w{i}" for i in range(n // 2))
+    for a, b in ((text, f"{text} {text}"), (f"{text} {half} {half}", f"{half} {text}")):
+        assert weighted.likeness(s.signature(a), s.signature(b)) == pytest.approx(jaccard(a, b), abs=0.1)
+
+
+def test_bound_loses_no_sample(monkeypatch):
+    s, rng = weighted.Sampler(), random.Random(5)
+    lines = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(12)) for _ in range(150)]
+    text = " ".join(x for x in lines for _ in range(rng.choice((1, 1, 2, 3, 40))))
+    terms, counts = s.terms(text)
+    k, j = (x.ravel() for x in np.indices((s.samples, len(terms))))
+    third = (s.turn[:, None] * terms.astype(np.uint32)[None, :]).ravel()
+    a, t = (x.reshape(s.samples, -1) for x in s._draw(k, terms[j], counts[j].astype(float), s._place(terms).ravel(), third))
+    assert (t[:, counts == 1] == 0).all()
+    best, rows = a.argmin(axis=1), np.arange(s.samples)
+    mixed = weighted._mix(terms[best] + t[rows, best].astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
+    assert (s.signature(text) == (mixed >> np.uint64(48)).astype(np.uint16)).all()
+    monkeypatch.setattr(weighted, "HEAVY_CHUNK", 64)
+    assert (s.signature(text) == (mixed >> np.uint64(48)).astype(np.uint16)).all()
+
+
 def test_one_and_no_document(odd):
     one = odd.where("doc_id = 15")
     r = weighted.compare_with_next(one).first()
