@@ -591,7 +591,7 @@ def kl_refine(spark, sf_dir):
 
 @query("anneal")
 def anneal(spark, sf_dir):
-    return _measured(*_improved(spark, sf_dir, partitioners.anneal_kernel(0.05, 5_000)))
+    return _measured(*_improved(spark, sf_dir, partitioners.anneal_kernel(0.05)))
 
 
 @query("repair_contiguity")

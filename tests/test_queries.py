@@ -47,6 +47,15 @@ def test_rows_only(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
 
 
+def test_anneal_runs_all_iterations(monkeypatch):
+    asked = []
+    monkeypatch.setattr(registry.partitioners, "anneal_kernel", lambda *given, **named: asked.append((given, named)))
+    monkeypatch.setattr(registry, "_improved", lambda *_: ())
+    monkeypatch.setattr(registry, "_measured", lambda *_: None)
+    registry.QUERIES["anneal"](None, SF)
+    assert asked == [((0.05,), {})]
+
+
 def test_ledger_stream(spark, tmp_path):
     path, folder = str(tmp_path / "in"), str(tmp_path / "ledger")
     schema = "state_code string, at int, status string"
