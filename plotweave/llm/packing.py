@@ -10,10 +10,13 @@ its length and its rank among the documents of that length.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +28,8 @@ from plotweave.operators.ranks import ranked
 from plotweave.sources.workspace import staged
 
 CAPACITY, END_ID = 4096, 1
-#: Words, and pieces of words, whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 700_000
+#: Characters of a slice of a long text, and of slices that are encoded at once.
+SLICE, TOGETHER = 1 << 16, 1 << 19
 
 
 class CapacityTree:
@@ -96,75 +99,58 @@ def plan_packing(lengths: Iterable[tuple[int, int]], capacity: int) -> np.ndarra
     return np.array(rows, np.int64).reshape(-1, 6)
 
 
-#: Chunks between white space that the fast path takes apart itself: letters, digits and marks of
-#: ASCII and Latin-1, which the tokenizer's normaliser only lower-cases.
-PLAIN = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+#: Where a long text may be cut: the tokenizer's pattern never spans ASCII white space.
+SPACES = re.compile(r"[ \t\n\x0b\x0c\r]")
 
 
-def _byte_letters() -> dict[int, str]:
-    """How byte-level vocabularies write the UTF-8 bytes of the non-ASCII letters in ``PLAIN``."""
-    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    hidden = iter(range(256, 512))
-    letter = {b: chr(b if b in shown else next(hidden)) for b in range(256)}
-    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
+def slices(text: str) -> Iterator[str]:
+    """A text in slices of about ``SLICE`` characters, cut before white space; one of "" for "".
 
-
-class _Words(dict):
-    """Ids of words by their UTF-8; a word that is missing is encoded."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self[word] = self.encode(word.decode())
-        return ids
+    Ids of the slices in order are the ids of the text. A run without white space stays whole.
+    """
+    at = 0
+    while len(text) - at > SLICE and (cut := SPACES.search(text, at + SLICE)):
+        yield text[at:cut.start()]
+        at = cut.start()
+    yield text[at:]
 
 
 class Tokens:
-    """Token ids of texts, with the ids of words remembered.
-
-    The tokenizer's pattern never spans ASCII white space, so a text's ids are its words' ids in
-    order, and only a word that isn't remembered needs encoding. A plain word is cut into the
-    pattern's pieces here and the vocabulary's merges run on pieces not met before; any other
-    word goes through the whole tokenizer.
-    """
+    """Token ids of texts. Nothing is remembered: ``TOGETHER`` characters are encoded at once,
+    whatever the length of a text, and then only their ids are kept."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
-        self.merge, self.letters = self.encoder.model.tokenize, _byte_letters()
-        self.known = _Words(self.word)
-        self.pieces: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        ids = array("I", [t.id for t in self.merge(piece.translate(self.letters))]).tobytes()
-        if len(self.pieces) >= REMEMBERED:
-            self.pieces.clear()
-        self.pieces[piece] = ids
-        return ids
-
-    def word(self, word: str) -> bytes:
-        low = word.lower()
-        parts = PLAIN.findall(low)
-        if "<|" in low or sum(map(len, parts)) != len(low) or len(low) != len(word):
-            return array("I", self.encoder.encode(word, add_special_tokens=False).ids).tobytes()
-        known, new = self.pieces.get, self._piece
-        return b"".join([known(p) or new(p) for p in parts])
-
-    def ids(self, text: str | None) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        return b"".join(map(self.known.__getitem__, (text or "").encode("utf-8").split()))
+
+    def _encoded(self, part: list[tuple[int, str]]) -> Iterator[tuple[int, bytes]]:
+        found = self.encoder.encode_batch_fast([s for _, s in part], add_special_tokens=False)
+        return ((i, array("I", e.ids).tobytes()) for (i, _), e in zip(part, found))
+
+    def _runs(self, texts: Iterable[str | None]) -> Iterator[tuple[int, bytes]]:
+        part, size = [], 0
+        for i, t in enumerate(texts):
+            for s in slices(t or ""):
+                part.append((i, s))
+                size += len(s)
+                if size >= TOGETHER:
+                    yield from self._encoded(part)
+                    part, size = [], 0
+        yield from self._encoded(part)
+
+    def ids(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of every text."""
+        for _, runs in groupby(self._runs(texts), itemgetter(0)):
+            yield b"".join(ids for _, ids in runs)
 
 
 _TOKENS: dict[str, Tokens] = {}
 
 
 def tokens_of(path: str) -> Tokens:
-    """The worker's own, which lives as long as the worker does."""
+    """The worker's own vocabulary, which lives as long as the worker does."""
     return _TOKENS.get(path) or _TOKENS.setdefault(path, Tokens(path))
 
 
@@ -177,8 +163,9 @@ def _tokenise(path: str, capacity: int, end_id: int, with_ids: bool):
         kinds = [*[pa.int64()] * 3, pa.int32(), *[pa.int64()] * 3, *[pa.list_(pa.int64())] * with_ids]
         for b in batches:
             rows = []
-            for f, r, i, t in zip(*(b.column(c).to_pylist() for c in ("__file", "__row", "id", "t"))):
-                ids = tokens.ids(t) + end
+            places = zip(*(b.column(c).to_pylist() for c in ("__file", "__row", "id")))
+            for (f, r, i), ids in zip(places, tokens.ids(x.as_py() for x in b.column("t"))):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), width)):
                     part = ids[at:at + width]
                     rows.append((f, r, i, k, at // 4, len(part) // 4, zlib.crc32(part),
