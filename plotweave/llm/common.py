@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +25,13 @@ def text_of(column: str | Column = "text") -> Column:
     return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit(""))
 
 
+def give_back() -> None:
+    """Return a worker's freed memory to the system at the end of a task; the worker lives on."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such function
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def without_space(text: Column) -> Column:
     for c in SPACE:
         text = F.replace(text, F.lit(c), F.lit(""))

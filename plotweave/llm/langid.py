@@ -9,21 +9,25 @@ word and n-gram of the sample is kept.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby, islice
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import table, text_of
+from plotweave.llm.common import give_back, table, text_of
 
-#: Labelled rows that the model is counted on (about), the longest n-grams, words counted
-#: and n-grams looked up at once.
+#: Labelled rows that the model is counted on (about), the longest n-grams, and the words that
+#: are counted at once.
 TRAIN_ROWS, GRAM, CHUNK = 20_000, 5, 20_000
+#: Words, and n-grams, that are looked up at once; a longer text or run is read in parts of that
+#: many, so memory doesn't grow with either.
+TOGETHER = 1 << 18
 UNKNOWN = "und"
-#: Words whose scores a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
 LETTERS = re.compile(r"[^\W\d_]+")  # runs of letters, and of numbers that aren't digits
 
 
@@ -46,10 +50,34 @@ def _logs(counts: np.ndarray) -> np.ndarray:
     return np.log(n / n.sum(axis=0)).astype(np.float32)
 
 
+def _places(values: list[str] | pa.Array, among: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the values occur ``among`` others, and the places of those that do."""
+    at = pc.index_in(values if isinstance(values, pa.Array) else pa.array(values, pa.large_string()), value_set=among)
+    known = at.is_valid().to_numpy(zero_copy_only=False)
+    return known, at.drop_null().to_numpy()
+
+
+def _sums(owner: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``rows`` by owner, each in the order of its rows."""
+    return np.stack([np.bincount(owner, column, n) for column in rows.T], axis=1) if rows.shape[1] else np.zeros((n, 0))
+
+
+def _packs(parts: Iterator[tuple[int, list[str]]]) -> Iterator[list[tuple[int, list[str]]]]:
+    """The parts in lists of about ``TOGETHER`` strings; no part is split."""
+    pack, size = [], 0
+    for part in parts:
+        pack.append(part)
+        size += len(part[1])
+        if size >= TOGETHER:
+            yield pack
+            pack, size = [], 0
+    yield pack
+
+
 class Model:
-    """Log frequencies of words and n-grams by language.
+    """Log frequencies of words and n-grams by language, as Arrow arrays with tables beside.
 
-    Words travel as one Arrow array; a worker makes its dictionary of them when it needs it.
+    Nothing is remembered between texts: the different words of some texts are looked up at once.
     """
 
     def __init__(self, counts: pa.Table | list[tuple[str, str, int]]):
@@ -63,12 +91,11 @@ class Model:
         table = np.zeros((len(self.words), len(place)))
         if len(counts):
             np.add.at(table, (word.indices.to_numpy(), columns[lang.indices.to_numpy()]), counts["n"].to_numpy())
-        self.word_logs, self._known = _logs(table), None
-        self.grams: dict[str, int] = {}
-        self._count_grams(table)
+        self.word_logs = _logs(table)
+        self.grams, self.gram_logs = self._count_grams(table)
 
-    def _count_grams(self, table: np.ndarray) -> None:
-        grams, sums = self.grams, np.zeros((0, len(self.languages)))
+    def _count_grams(self, table: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        grams, sums = {}, np.zeros((0, len(self.languages)))
         for i in range(0, len(self.words), CHUNK):
             at, lengths = [], []
             for w in self.words[i:i + CHUNK].to_pylist():
@@ -80,62 +107,80 @@ class Model:
             more = np.stack([np.bincount(at, column[of], len(grams)) for column in table.T], axis=1)
             more[:len(sums)] += sums
             sums = more
-        self.gram_logs = np.zeros(sums.shape, np.float32)
-        sizes = np.fromiter(map(len, grams), np.int64, len(grams))
+        logs = np.zeros(sums.shape, np.float32)
+        sizes = np.fromiter((len(g) for g in grams), np.int64, len(grams))
         for size in range(1, GRAM + 1):
-            self.gram_logs[sizes == size] = _logs(sums[sizes == size])
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_known": None}
-
-    def known(self) -> dict[str, int]:
-        """Places of the words in ``word_logs``."""
-        if self._known is None:
-            self._known = dict(zip(self.words.to_pylist(), range(len(self.words))))
-        return self._known
-
-    def score(self, word: str) -> np.ndarray:
-        at = self.known().get(word)
-        if at is not None:
-            return self.word_logs[at]
+            logs[sizes == size] = _logs(sums[sizes == size])
+        return pa.array(grams, pa.large_string()), logs
+
+    def _gram_sums(self, words: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the known n-grams of one length by word, and how many there are."""
+        total, found = np.zeros((len(words), len(self.languages))), np.zeros(len(words), np.int64)
+
+        def parts() -> Iterator[tuple[int, list[str]]]:
+            for i, w in enumerate(words):
+                edged = w if size == 1 else f"^{w}$"
+                last = len(edged) - size + 1
+                for at in range(0, last, TOGETHER):
+                    yield i, [edged[j:j + size] for j in range(at, min(at + TOGETHER, last))]
+
+        for pack in _packs(parts()):
+            known, places = _places([g for _, part in pack for g in part], self.grams)
+            of = np.repeat(np.arange(len(pack)), [len(part) for _, part in pack])[known]
+            word = np.array([i for i, _ in pack], np.int64)
+            np.add.at(total, word, _sums(of, self.gram_logs[places], len(pack)))
+            np.add.at(found, word, np.bincount(of, minlength=len(pack)))
+        return total, found
+
+    def scores(self, words: list[str] | pa.Array) -> np.ndarray:
+        """A row a word, a column a language. An unseen word has the mean of its known n-grams of
+        the greatest length of which any is known, and zeros if none is known at all."""
+        if not isinstance(words, pa.Array):
+            words = pa.array(words, pa.large_string())
+        out = np.zeros((len(words), len(self.languages)), np.float32)
+        known, places = _places(words, self.words)
+        out[known] = self.word_logs[places]
+        left = np.flatnonzero(~known)
         for size in range(GRAM, 0, -1):
-            edged, found, total = word if size == 1 else f"^{word}$", 0, np.zeros(len(self.languages))
-            last = len(edged) - size + 1
-            for i in range(0, last, CHUNK):
-                part = [at for j in range(i, min(i + CHUNK, last)) if (at := self.grams.get(edged[j:j + size])) is not None]
-                total += self.gram_logs[part].sum(axis=0, dtype=np.float64)
-                found += len(part)
-            if found:
-                return (total / found).astype(np.float32)
-        return np.zeros(len(self.languages), np.float32)
-
-
-class Scorer:
-    """Scores texts with one model, remembering the scores of words."""
-
-    def __init__(self, model: Model):
-        self.model, self.known = model, {}
-        self.table = np.zeros((1024, len(model.languages)), np.float32)
-
-    def _place(self, word: str) -> int:
-        at = len(self.known)
-        if at == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[at] = self.model.score(word)
-        self.known[word] = at
-        return at
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = LETTERS.findall((text or "").lower())
-        if not self.model.languages or not any(w.isalpha() or any(map(str.isalpha, w)) for w in words):
-            return UNKNOWN, 0.0
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        get, place = self.known.get, self._place
-        at = [i if (i := get(w)) is not None else place(w) for w in words]
-        total = self.table[at].sum(axis=0, dtype=np.float64)
-        best = int(total.argmax())
-        return self.model.languages[best], 1.0 / float(np.exp(np.minimum(total - total[best], 0)).sum())
+            if not len(left):
+                break
+            total, found = self._gram_sums(words.take(pa.array(left)).to_pylist(), size)
+            hit = found > 0
+            out[left[hit]] = total[hit] / found[hit, None]
+            left = left[~hit]
+        return out
+
+    def predict(self, texts: Iterable[str | None]) -> Iterator[tuple[str, float]]:
+        """Language and score of every text."""
+        letter: list[bool] = []
+
+        def parts() -> Iterator[tuple[int, list[str]]]:
+            for i, t in enumerate(texts):
+                low = (t or "").lower()
+                letter.append(False)
+                if len(low) <= TOGETHER:
+                    runs = iter([LETTERS.findall(low)])
+                else:
+                    each = (m[0] for m in LETTERS.finditer(low))
+                    runs = chain([[]], iter(lambda: list(islice(each, TOGETHER)), []))
+                for words in runs:
+                    letter[i] = letter[i] or any(w.isalpha() or any(map(str.isalpha, w)) for w in words)
+                    yield i, words
+
+        def totals() -> Iterator[tuple[int, np.ndarray]]:
+            for pack in _packs(parts()):
+                words = pa.array([w for _, part in pack for w in part], pa.large_string()).dictionary_encode()
+                of = np.repeat(np.arange(len(pack)), [len(part) for _, part in pack])
+                rows = self.scores(words.dictionary)[words.indices.to_numpy()]
+                yield from zip((i for i, _ in pack), _sums(of, rows, len(pack)))
+
+        for i, runs in groupby(totals(), itemgetter(0)):
+            total = sum(t for _, t in runs)
+            if not self.languages or not letter[i]:
+                yield UNKNOWN, 0.0
+            else:
+                best = int(total.argmax())
+                yield self.languages[best], min(1.0, 1.0 / float(np.exp(np.minimum(total - total[best], 0)).sum()))
 
 
 def fit(docs: DataFrame, text: str, lang: str, *, rows: int = TRAIN_ROWS, key: str = "doc_id") -> Model:
@@ -155,15 +200,15 @@ def fit(docs: DataFrame, text: str, lang: str, *, rows: int = TRAIN_ROWS, key: s
 
 def _predict(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
         for b in batches:
-            found = [scorer.predict(t) for t in b.column("__text").to_pylist()]
+            found = list(model.predict(t.as_py() for t in b.column("__text")))
             rest = [c for c in b.schema.names if c != "__text"]
             yield pa.RecordBatch.from_arrays(
                 [*[b.column(c) for c in rest], pa.array([x for x, _ in found], pa.string()),
-                 pa.array([min(1.0, x) for _, x in found], pa.float64())],
+                 pa.array([x for _, x in found], pa.float64())],
                 names=[*rest, "__lang", "__score"],
             )
+        give_back()
 
     return run
 
@@ -195,12 +240,30 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
-def keep_identified(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
-    """``docs`` without the documents that have no language (null texts and those without a letter)."""
+def keep_identified(
+    docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", *,
+    wanted: Iterable[str] | None = None, least_score: float | None = None,
+) -> DataFrame:
+    """``docs`` whose text is predicted to be in a language that is wanted, all columns unchanged.
+
+    The prediction decides, not ``lang``, which only serves to learn from: a text with a wrong or
+    no label goes by what it is written in. ``wanted`` is every learned language unless given;
+    ``least_score`` is the least share of the winning language in the likelihoods, unless given
+    any that is above an even guess: a text goes in which no word, n-gram or letter is known.
+    Texts that are null or have no letter go. Where no row has a language nothing can be learned,
+    and unless languages were asked for every text with a letter stays.
+    """
     model = fit(docs, text, lang, key=key)
+    if not model.languages and wanted is None:
+        return docs.where(text_of(text).rlike(r"\p{L}"))
     whole = docs.withColumn("__text", F.col(text).cast("string"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return (
-        whole.mapInArrow(_predict(model), f"{kinds}, __lang string, __score double")
-        .where(F.col("__lang") != UNKNOWN).select(*[f"`{c}`" for c in docs.columns])
-    )
+    found = whole.mapInArrow(_predict(model), f"{kinds}, __lang string, __score double")
+    keep = F.col("__lang") != UNKNOWN
+    if least_score is not None:
+        keep &= F.col("__score") >= least_score
+    elif len(model.languages) > 1:
+        keep &= F.col("__score") > 1 / len(model.languages)
+    if wanted is not None:
+        keep &= F.col("__lang").isin(*wanted)
+    return found.where(keep).select(*[f"`{c}`" for c in docs.columns])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import addressed, table
+from plotweave.llm.common import addressed, give_back, table
 from plotweave.operators.ranks import ranked
 from plotweave.sources.workspace import staged
 
@@ -173,6 +173,7 @@ def _tokenise(path: str, capacity: int, end_id: int, with_ids: bool):
             columns = zip(*rows) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)],
                                              names=names)
+        give_back()
 
     return run
 

@@ -443,11 +443,96 @@ def test_language_of_odd_tables(spark, odd, docs):
     assert {r["__lang"] for r in rows_of(langid.predict(odd, nothing, carry=["doc_id"]))} == {"und"}
 
 
+def score(model, word):
+    return model.scores([word])[0]
+
+
 def test_backoff_gets_shorter():
     model = langid.Model([("house", "en", 5), ("haus", "de", 5)])
-    assert model.languages == ["de", "en"] and model.score("house")[1] > model.score("house")[0]
-    assert model.score("houses")[1] > model.score("houses")[0] and model.score("hauses")[0] > model.score("hauses")[1]
-    assert model.score("漢").tolist() == [0, 0]
+    assert model.languages == ["de", "en"] and score(model, "house")[1] > score(model, "house")[0]
+    assert score(model, "houses")[1] > score(model, "houses")[0] and score(model, "hauses")[0] > score(model, "hauses")[1]
+    assert score(model, "漢").tolist() == [0, 0]
+
+
+class SlowBackoff:
+    """The word-first backoff by counting in dictionaries, a word and an n-gram at a time."""
+
+    def __init__(self, rows):
+        counts = defaultdict(Counter)
+        for text, lang in rows:
+            for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+                counts[w][lang] += 1
+        self.languages = sorted({la for c in counts.values() for la in c})
+        self.tables = {0: counts}
+        for size in range(1, 6):
+            self.tables[size] = defaultdict(Counter)
+            for w, c in counts.items():
+                for g in langid.ngrams(w, size):
+                    self.tables[size][g].update(c)
+        self.sums = {k: [sum(c[la] + 0.5 for c in t.values()) for la in self.languages] for k, t in self.tables.items()}
+
+    def logs(self, kind, x):
+        return np.log([(self.tables[kind][x][la] + 0.5) / s for la, s in zip(self.languages, self.sums[kind])])
+
+    def word(self, w):
+        if w in self.tables[0]:
+            return self.logs(0, w)
+        for size in range(5, 0, -1):
+            known = [g for g in langid.ngrams(w, size) if g in self.tables[size]]
+            if known:
+                return np.mean([self.logs(size, g) for g in known], axis=0)
+        return np.zeros(len(self.languages))
+
+    def predict(self, text):
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        if not any(c.isalpha() for w in words for c in w):
+            return "und", 0.0
+        total = np.sum([self.word(w) for w in words], axis=0)
+        return self.languages[int(total.argmax())], 1 / np.exp(total - total.max()).sum()
+
+
+def test_language_equals_brute_force(spark, docs):
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    slow = SlowBackoff([(t, la) for i, t, la in rows if la is not None and zlib.crc32(str(i).encode()) % 4 != 2])
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in rows_of(langid.op7_language_id(spark, SF))}
+    for i, t, _ in rows:
+        lang, p = slow.predict(t)
+        assert got[i][0] == lang and got[i][1] == pytest.approx(p, abs=1e-3), i
+
+
+def test_prediction_in_parts(monkeypatch):
+    """What is looked up together changes nothing, however long a text is."""
+    rng = random.Random(8)
+    model = langid.Model([("".join(rng.choices("abcdeé", k=rng.randint(1, 6))), rng.choice(["x", "y", "z"]), 1) for _ in range(300)])
+    texts = [None, "", "12", "²", *(" ".join("".join(rng.choices("abcdeéf ²1", k=rng.randint(1, 9))) for _ in range(rng.randint(0, 60)))
+                                    for _ in range(80)), "1 " * 400, "漢 " * 300, "ab" * 500]
+    whole = list(model.predict(texts))
+    for together in (1, 7, 100):
+        monkeypatch.setattr(langid, "TOGETHER", together)
+        got = list(model.predict(texts))
+        assert [g[0] for g in got] == [w[0] for w in whole]
+        assert [g[1] for g in got] == pytest.approx([w[1] for w in whole], rel=1e-9)
+    assert len(whole) == len(texts) and list(model.predict([])) == []
+
+
+def test_prediction_decides(spark, odd, docs):
+    """Documents go by the language they are written in; labels only teach."""
+    held = {r["doc_id"]: (r["lang"], r["__lang"], r["__score"]) for r in rows_of(
+        langid.predict(docs, langid.fit(docs, "text", "lang"), carry=["doc_id", "lang"]))}
+    english = next(r for r in docs.collect() if r["lang"] == "en" and held[r["doc_id"]][1] == "en" and len(r["text"]) > 500)
+    wrong = docs.withColumn("lang", F.when(F.col("doc_id") == english["doc_id"], "de").otherwise(F.col("lang")))
+    for wanted in (["en"], ["de", "fr"]):
+        ids = {r["doc_id"] for r in langid.keep_identified(wrong, wanted=wanted).collect()}
+        assert (english["doc_id"] in ids) == ("en" in wanted)
+        assert ids == {i for i, (_, found, _) in held.items() if found in wanted}
+    sure = {r["doc_id"] for r in langid.keep_identified(docs, least_score=0.9).collect()}
+    assert sure == {i for i, (_, found, p) in held.items() if found != "und" and p >= 0.9}
+    strange = spark.createDataFrame([(-1, "漢字 漢字。", None, None, 6)], docs.schema)
+    for one in (docs, docs.where("lang = 'en'")):  # with one language there is no guess to beat
+        assert langid.keep_identified(one.unionAll(strange)).where("doc_id = -1").count() == (one is not docs)
+    unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
+    kept = Counter(r["doc_id"] for r in langid.keep_identified(unlabelled, least_score=0.5).collect())
+    assert kept == Counter(i for i, t, *_ in ROWS if re.search(r"[^\W\d_]", t or ""))
 
 
 def test_model_keeps_every_pair_and_ngram(spark):
@@ -457,22 +542,23 @@ def test_model_keeps_every_pair_and_ngram(spark):
         "lang", F.when(F.col("doc_id") < 8, "a").otherwise("b"))
     expected = {(w, r["lang"]) for r in docs.collect() for w in r["text"].split()}
     model = langid.fit(docs, "text", "lang")
-    assert len(expected) > 155_000 and set(model.known()) == {w for w, _ in expected}
+    assert len(expected) > 155_000 and set(model.words.to_pylist()) == {w for w, _ in expected}
     grams = {g for w, _ in expected for size in range(1, 6) for g in langid.ngrams(w, size)}
-    assert len(grams) > 200_000 and set(model.grams) == grams
+    assert len(grams) > 200_000 and set(model.grams.to_pylist()) == grams
     for w, lang in sorted(expected)[::5_000]:
-        assert model.languages[int(model.score(w).argmax())] == lang
+        assert model.languages[int(score(model, w).argmax())] == lang
 
 
 def test_backoff_reads_whole_runs(monkeypatch):
     model = langid.Model([("abcdef", "en", 5), ("uvwxyz", "de", 5)])
     run = "abcdef" * 11 + "uvwxyz" * 400
-    found = [model.grams[g] for g in langid.ngrams(run, 5) if g in model.grams]
+    places = {g: i for i, g in enumerate(model.grams.to_pylist())}
+    found = [places[g] for g in langid.ngrams(run, 5) if g in places]
     expected = model.gram_logs[found].mean(axis=0, dtype=np.float64)
-    assert langid.Scorer(model).predict(run)[0] == "de"
-    for chunk in (langid.CHUNK, 7):
-        monkeypatch.setattr(langid, "CHUNK", chunk)
-        assert model.score(run) == pytest.approx(expected, rel=1e-5)
+    assert next(model.predict([run]))[0] == "de"
+    for together in (langid.TOGETHER, 7):
+        monkeypatch.setattr(langid, "TOGETHER", together)
+        assert score(model, run) == pytest.approx(expected, rel=1e-5)
 
 
 # --- 8 simhash -------------------------------------------------------------------------------
@@ -637,7 +723,9 @@ def test_pipeline(spark, docs, texts):
         now = staged(stage(spark, now, SF), name)
         assert now.columns == docs.columns
         kept[name] = [r["doc_id"] for r in now.collect()]
-    assert sorted(kept["language"]) == sorted(i for i, t in texts.items() if re.search(r"[^\W\d_]", t))
+    slow = SlowBackoff([(r["text"], r["lang"]) for r in docs.collect() if r["lang"] is not None])
+    found = {i: slow.predict(t) for i, t in texts.items()}
+    assert sorted(kept["language"]) == sorted(i for i, (la, p) in found.items() if la != "und" and p > 1 / len(slow.languages))
     assert sorted(kept["exact_copies"]) == sorted(i for _, i in dedup_classes([(i, texts[i]) for i in kept["language"]]).values())
     expected = components([(i, slow_print(texts[i])) for i in kept["exact_copies"]])
     assert sorted(kept["near_copies"]) == sorted(set(expected.values()))
