@@ -17,7 +17,8 @@ from plotweave.sources.workspace import staged
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be told; null texts and those without a letter go."""
+    """Documents predicted to be in a language of the corpus with more than an even guess, whatever
+    their label; null texts, those without a letter and those in which nothing is known go."""
     return keep_identified(docs)
 
 
