@@ -10,13 +10,10 @@ its length and its rank among the documents of that length.
 
 from __future__ import annotations
 
-import os
 import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import groupby
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +25,11 @@ from plotweave.operators.ranks import ranked
 from plotweave.sources.workspace import staged
 
 CAPACITY, END_ID = 4096, 1
-#: Characters of a slice of a long text, and of slices that are encoded at once.
-SLICE, TOGETHER = 1 << 16, 1 << 19
+#: Characters of a slice of a long text. Words that each of a worker's two generations remembers,
+#: and the UTF-8 bytes of the longest of them: a bound of about 50 MB a worker.
+SLICE, KEPT, LONGEST = 1 << 18, 1 << 17, 32
+#: Places of the hashes of words that were missed once.
+MISSED = 1 << 20
 
 
 class CapacityTree:
@@ -115,42 +115,91 @@ def slices(text: str) -> Iterator[str]:
     yield text[at:]
 
 
+#: Pieces between white space that the fast path takes apart itself: letters, digits and marks of
+#: ASCII and Latin-1, which the tokenizer's normaliser only lower-cases.
+PLAIN = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write the UTF-8 bytes of the non-ASCII letters in ``PLAIN``."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    letter = {b: chr(b if b in shown else next(hidden)) for b in range(256)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
+
+
+class _Words(dict):
+    """Ids of words by their UTF-8; a word that is missing is encoded.
+
+    A word is remembered when it is missed for the second time (about: by a table of hashes). A
+    full generation becomes the older one and the one before it goes, so frequent words stay.
+    """
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.older, self.missed = encode, {}, bytearray(MISSED)
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids, place = self.encode(word.decode()), hash(word) % MISSED
+            if not self.missed[place] or len(word) > LONGEST:
+                self.missed[place] = 1
+                return ids
+        if len(self) >= KEPT:
+            self.older, self.missed = self.copy(), bytearray(MISSED)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 class Tokens:
-    """Token ids of texts. Nothing is remembered: ``TOGETHER`` characters are encoded at once,
-    whatever the length of a text, and then only their ids are kept."""
+    """Token ids of texts, with the ids of frequent words remembered.
+
+    The tokenizer's pattern never spans ASCII white space, so a text's ids are its words' ids in
+    order, and only a word that isn't remembered needs encoding. A plain word is cut into the
+    pattern's pieces here and the vocabulary's merges run on them; any other word goes through
+    the whole tokenizer.
+    """
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
-
-    def _encoded(self, part: list[tuple[int, str]]) -> Iterator[tuple[int, bytes]]:
-        found = self.encoder.encode_batch_fast([s for _, s in part], add_special_tokens=False)
-        return ((i, array("I", e.ids).tobytes()) for (i, _), e in zip(part, found))
-
-    def _runs(self, texts: Iterable[str | None]) -> Iterator[tuple[int, bytes]]:
-        part, size = [], 0
-        for i, t in enumerate(texts):
-            for s in slices(t or ""):
-                part.append((i, s))
-                size += len(s)
-                if size >= TOGETHER:
-                    yield from self._encoded(part)
-                    part, size = [], 0
-        yield from self._encoded(part)
-
-    def ids(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of every text."""
-        for _, runs in groupby(self._runs(texts), itemgetter(0)):
-            yield b"".join(ids for _, ids in runs)
+        self.merge, self.letters = self.encoder.model.tokenize, _byte_letters()
+        self.known = _Words(self.word)
+        self.marks: dict[str, bytes] = {}  # of single marks and digits, so never many
+
+    def _piece(self, piece: str) -> bytes:
+        if ids := self.marks.get(piece):
+            return ids
+        ids = array("I", [t.id for t in self.merge(piece if piece.isascii() else piece.translate(self.letters))]).tobytes()
+        if len(piece) == 1:
+            self.marks[piece] = ids
+        return ids
+
+    def word(self, word: str) -> bytes:
+        low = word.lower()
+        parts = PLAIN.findall(low)
+        if "<|" in low or sum(map(len, parts)) != len(low) or len(low) != len(word):
+            return array("I", self.encoder.encode(word, add_special_tokens=False).ids).tobytes()
+        if len(parts) == 1:
+            return self._piece(low)
+        known, older = self.known.get, self.known.older.get
+        return b"".join([known(p) or older(p) or self._piece(p.decode()) if len(p) > 1 else self._piece(p.decode())
+                         for p in [p.encode() for p in parts]])
+
+    def ids(self, text: str | None) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        known = self.known.__getitem__
+        return b"".join([b"".join(map(known, s.encode("utf-8").split())) for s in slices(text or "")])
 
 
 _TOKENS: dict[str, Tokens] = {}
 
 
 def tokens_of(path: str) -> Tokens:
-    """The worker's own vocabulary, which lives as long as the worker does."""
+    """The worker's own, which lives as long as the worker does."""
     return _TOKENS.get(path) or _TOKENS.setdefault(path, Tokens(path))
 
 
@@ -164,8 +213,8 @@ def _tokenise(path: str, capacity: int, end_id: int, with_ids: bool):
         for b in batches:
             rows = []
             places = zip(*(b.column(c).to_pylist() for c in ("__file", "__row", "id")))
-            for (f, r, i), ids in zip(places, tokens.ids(x.as_py() for x in b.column("t"))):
-                ids += end
+            for (f, r, i), t in zip(places, b.column("t")):
+                ids = tokens.ids(t.as_py()) + end
                 for k, at in enumerate(range(0, len(ids), width)):
                     part = ids[at:at + width]
                     rows.append((f, r, i, k, at // 4, len(part) // 4, zlib.crc32(part),

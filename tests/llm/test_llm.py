@@ -139,21 +139,29 @@ def test_tokens_equal_the_tokenizer():
     letters = [*"ab Zé'ßÀµªº²½ÿŸİıſKΣσς\u0301\u00a0\x1c\x85漢1٣_.,!<|>\n\x0b", "<|endoftext|>", "'s", "'LL"]
     for _ in range(1500):
         t = "".join(rng.choice(letters) for _ in range(rng.randint(0, 14)))
-        assert np.frombuffer(next(tokens.ids([t])), "<u4").tolist() == tokens.encoder.encode(t, add_special_tokens=False).ids, repr(t)
+        assert np.frombuffer(tokens.ids(t), "<u4").tolist() == tokens.encoder.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_tokens_of_slices(monkeypatch):
-    """Long texts are cut at white space and encoded in parts; the ids stay those of the text."""
+    """Long texts are cut at white space and few words are remembered; the ids stay those of the text."""
     tokens, rng = packing.Tokens(packing.word_bpe()), random.Random(7)
     letters = [*"ab Zé'ßÿŸİKΣσς\u0301\u00a0\x85漢1٣_.,!<|> \n\x0b\t", "<|endoftext|>", "'s"]
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 200))) for _ in range(300)] + [None, "", "x" * 500, " " * 90]
     expected = [tokens.encoder.encode(t or "", add_special_tokens=False).ids for t in texts]
-    for size, together in ((1, 1), (7, 30), (50, 10**6)):
+    for size, kept in ((1, 1), (7, 30), (50, 10**6)):
         monkeypatch.setattr(packing, "SLICE", size)
-        monkeypatch.setattr(packing, "TOGETHER", together)
+        monkeypatch.setattr(packing, "KEPT", kept)
         assert all("".join(packing.slices(t or "")) == (t or "") for t in texts)
-        assert [np.frombuffer(i, "<u4").tolist() for i in tokens.ids(texts)] == expected
-    assert list(tokens.ids([])) == []
+        assert [np.frombuffer(tokens.ids(t), "<u4").tolist() for t in texts] == expected
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    tokens = packing.Tokens(packing.word_bpe())
+    monkeypatch.setattr(packing, "KEPT", 100)
+    for i in range(30):
+        tokens.ids(" ".join(f"w{i}x{j} the " + "y" * 40 + f"{j}" for j in range(50)))
+        assert len(tokens.known) <= 100 and len(tokens.known.older) <= 100 and max(map(len, tokens.known)) <= packing.LONGEST
+    assert b"the" in tokens.known or b"the" in tokens.known.older
 
 
 @pytest.mark.parametrize("capacity", [4096, 50])
