@@ -26,6 +26,9 @@ STATE_CONF = {
     f"{_STORE}.rocksdb.allowFAllocate": "false",
     f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
 }
+#: On a local file system the default writer of checkpoint files starts a ``chmod`` process a file.
+LOCAL_CONF = {"spark.sql.streaming.checkpointFileManagerClass":
+              "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager"}
 
 
 def _rank() -> Column:
@@ -41,9 +44,10 @@ def keyed_state(spark: SparkSession, ledger: DataFrame, path: str, max_bytes: in
     checkpoint. Partial aggregation before the shuffle leaves one row per digest and task, so a
     digest that holds a third of all rows doesn't burden the task that keeps it.
     """
-    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
     checkpoint = new_path(spark, "state")
-    for k, v in STATE_CONF.items():
+    conf = STATE_CONF | (LOCAL_CONF if checkpoint.startswith(("file:", "/")) else {})
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
         spark.conf.set(k, v)
     try:
         query = (
