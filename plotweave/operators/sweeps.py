@@ -14,23 +14,28 @@ from pyspark.sql import functions as F
 from plotweave.sources.workspace import staged
 
 
-def prefix_sums(df: DataFrame, groups: list[str], order: list[str], value: str, name: str = "running",
+def prefix_sums(df: DataFrame, groups: list[str], order: list[str], value: str | dict[str, str], name: str = "running",
                 slices: int | None = None) -> DataFrame:
     """Running sum of ``value`` within ``groups`` along ``order``, which must name rows uniquely.
 
-    Rows are range-partitioned by group and order into slices; each slice is summed by itself and
-    shifted by the totals of the group's earlier slices. A group of any size is thus summed by
-    many tasks; the totals have a row for each slice and group.
+    ``value`` is a column whose sum is called ``name``, or sums' names by column; without
+    ``groups`` the table is one group. Rows are range-partitioned by group and order into slices;
+    each slice is summed by itself and shifted by the totals of the group's earlier slices. A
+    group of any size is thus summed by many tasks; the totals have a row for each slice and group.
     """
+    sums = {value: name} if isinstance(value, str) else value
     key = [*groups, *order]
     parts = (slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),)
     dealt = staged(df.repartitionByRange(*parts, *key).withColumn("__slice", F.spark_partition_id()), "slices")
-    totals = dealt.groupBy(*groups, "__slice").agg(F.sum(value).alias("__total"))
+    totals = dealt.groupBy(*groups, "__slice").agg(*[F.sum(v).alias(f"__total_{v}") for v in sums])
     earlier = Window.partitionBy(*groups).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("__before", F.coalesce(F.sum("__total").over(earlier), F.lit(0))).drop("__total")
+    totals = totals.select(*groups, "__slice", *[
+        F.coalesce(F.sum(f"__total_{v}").over(earlier), F.lit(0)).alias(f"__before_{v}") for v in sums])
     inside = Window.partitionBy(*groups, "__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return dealt.withColumn("__inside", F.sum(value).over(inside)).join(totals, [*groups, "__slice"]).withColumn(
-        name, F.col("__inside") + F.col("__before")).drop("__slice", "__inside", "__before")
+    summed = dealt.withColumns({f"__inside_{v}": F.sum(v).over(inside) for v in sums})
+    return summed.join(totals, [*groups, "__slice"]).withColumns(
+        {n: F.col(f"__inside_{v}") + F.col(f"__before_{v}") for v, n in sums.items()}).drop(
+        "__slice", *[f"__{x}_{v}" for x in ("inside", "before") for v in sums])
 
 
 def sweep_districts(units: DataFrame, k: int, order: list[str]) -> DataFrame:

@@ -71,6 +71,8 @@ def test_prefix_sums_of_one_large_group(spark):
     df = spark.range(1000).select(F.lit("A").alias("g"), "id", F.lit(1).alias("v"))
     got = sweeps.prefix_sums(df, ["g"], ["id"], "v", slices=7)
     assert got.where("running <> id + 1").count() == 0
+    whole = sweeps.prefix_sums(df.withColumn("w", F.col("id") * 2), [], ["id"], {"v": "a", "w": "b"}, slices=7)
+    assert whole.where("a <> id + 1 or b <> id * (id + 1)").count() == 0 and whole.count() == 1000
 
 
 def test_ranked(spark):
