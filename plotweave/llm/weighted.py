@@ -16,6 +16,8 @@ least, so only terms whose bound is below the smallest a known are drawn in full
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import table, text_of
+from plotweave.llm.common import addressed, table, text_of
 
 SAMPLES, SHINGLE, SEED = 256, 5, 11
 #: Terms weighed at once: of weight 1, and of others.
@@ -32,8 +34,9 @@ CHUNK, HEAVY_CHUNK = 4096, 1024
 #: Texts that a task should get, in bytes, when documents are dealt by id, and the most ranges
 #: that ids are dealt into; beyond it tasks stream longer ranges.
 TASK_BYTES, MAX_RANGES = 32 << 20, 50_000
-#: Words whose hashes a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 500_000
+#: Words whose hashes a worker remembers, and the bytes of the longest of them; beyond the number
+#: the memory starts anew.
+REMEMBERED, LONGEST = 1 << 17, 32
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -56,7 +59,11 @@ class _Hashes(dict):
     """Hashes of words by their UTF-8."""
 
     def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        h = xxhash.xxh64_intdigest(word, SEED)
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -83,8 +90,6 @@ class Sampler:
 
     def terms(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Distinct shingle hashes in ascending order, and their counts."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         words = text.encode("utf-8", "surrogatepass").split()
         h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         if not len(h):
@@ -182,11 +187,16 @@ def _pairs(samples: int):
     return run
 
 
-def _not_above(cuts: list[int], value: Column) -> Column:
+#: What rows are ordered by: a null id below all others, then the id, then a hash of the row.
+KEY = "struct<has:boolean,id:bigint,h:bigint>"
+
+
+def _not_above(cuts: list[tuple[bool, int, int]], value: Column) -> Column:
     """How many of the ascending cuts are not above the value, by binary search."""
     if not cuts:
         return F.lit(0)
-    array = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")  # folded into one literal
+    text = json.dumps([{"has": has, "id": i, "h": h} for has, i, h in cuts])
+    array = F.from_json(F.lit(text), f"array<{KEY}>")  # folded into one literal
     start = F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"))
 
     def halve(s: Column, _: Column) -> Column:
@@ -199,6 +209,18 @@ def _not_above(cuts: list[int], value: Column) -> Column:
     return F.aggregate(steps, start, halve, lambda s: s["low"])
 
 
+def _cuts(quantiles: list[int], nulls: int, parts: int) -> list[tuple[bool, int, int]]:
+    """Ascending cuts of keys. An id that is several quantiles has many rows, and so may null:
+    their rows are cut by hash into as many ranges."""
+    def of(has: bool, i: int, n: int) -> list[tuple[bool, int, int]]:
+        return [(has, i, -(1 << 63) + (j << 64) // n) for j in range(n)]
+
+    out = of(False, 0, nulls)[1:] if nulls > 1 else []
+    for i, n in sorted(Counter(quantiles).items()):
+        out += of(True, i, n)
+    return out
+
+
 def _sign(samples: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = sampler_of(samples)
@@ -221,40 +243,43 @@ def document_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_i
 
 
 def compare_with_next(docs: DataFrame, text: str = "text", key: str = "doc_id", *, samples: int = SAMPLES,
-                      task_bytes: int = TASK_BYTES) -> DataFrame:
+                      task_bytes: int = TASK_BYTES, max_ranges: int = MAX_RANGES) -> DataFrame:
     """Every row with its edited text's fingerprint and the likeness to it and to the next row.
 
-    The next row is the one after it by descending id (null ids last; equal ids by text), after
-    the last the first; a single row is its own next. Rows are dealt to tasks by ranges of ids,
-    and each range also gets a copy of the first row of the range after it, so that texts are
-    shuffled once and no task sees more than its range.
+    The next row is the one after it by descending id, null ids last, after the last the first; a
+    single row is its own next. Rows of one id come in an order of their own, by a hash of their
+    places in the stored table, so that an id with any share of the rows is cut like the rest.
+    Rows are dealt to tasks by ranges of about ``task_bytes`` (at most ``max_ranges`` of them, which
+    only makes ranges longer), and each range also gets a copy of the first row of the range after
+    it, so that texts are shuffled once and no task sees more than its range.
     """
-    rows = docs.select(F.col(key).cast("long").alias("id"), text_of(text).alias("t"))
-    ids = rows.select("id", F.octet_length("t").alias("size"))
-    total = ids.agg(F.sum("size")).first()[0] or 0
-    parts = min(int(total // task_bytes) + 1, MAX_RANGES)
+    rows = addressed(docs).select(
+        F.struct(F.col(key).isNotNull().alias("has"), F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long")).alias("id"),
+                 F.xxhash64("__file", "__row").alias("h")).alias("key"), text_of(text).alias("t"))
+    ids = rows.select(F.when(F.col("key.has"), F.col("key.id")).alias("id"), F.octet_length("t").alias("size"))
+    total, n, known = ids.agg(F.sum("size"), F.count(F.lit(1)), F.count("id")).first()
+    parts = min(int((total or 0) // task_bytes) + 1, max_ranges)
     shares = [i / parts for i in range(1, parts)]
-    found = ids.agg(F.percentile_approx("id", shares, 100 * parts)).first()[0] if shares else None
-    cuts = sorted(set(found or []))
-    # Ranges in descending order of ids; a null id is in the last one.
-    part = F.when(F.col("id").isNull(), len(cuts)).otherwise(len(cuts) - _not_above(cuts, F.col("id")))
-    placed = rows.withColumn("part", part)
-    # The first row of each range, by (id, text): a row for each range.
+    found = ids.agg(F.percentile_approx("id", shares, 100 * parts)).first()[0] if shares and known else None
+    cuts = _cuts(found or [], -(-(n - known) * parts // max(n, 1)), parts)
+    # Ranges in descending order of keys.
+    placed = rows.withColumn("part", (len(cuts) - _not_above(cuts, F.col("key"))).cast("int"))
+    # The first row of each range: a row for each range.
     firsts = (
-        placed.groupBy("part").agg(F.max(F.struct(F.col("id").isNotNull().alias("has"), F.col("id").alias("id"))).alias("top"))
-        .select("part", "top.id")
+        placed.groupBy("part").agg(F.max("key").alias("top"))
         .withColumn("before", F.lag("part").over(Window.partitionBy(F.lit(0)).orderBy("part")))
         .withColumn("before", F.coalesce("before", F.max("part").over(Window.partitionBy(F.lit(0)))))
     )
     heads = placed.join(
-        F.broadcast(firsts.select(F.col("part").alias("p"), F.col("id").alias("i"), "before")),
-        (F.col("part") == F.col("p")) & F.col("id").eqNullSafe(F.col("i")),
-    ).groupBy("before").agg(F.first("id").alias("id"), F.min("t").alias("t")).select(
-        F.col("before").alias("part"), "id", "t", F.lit(False).alias("own"))
-    order = [F.col("part"), F.col("own").desc(), F.col("id").desc_nulls_last(), F.col("t")]
+        F.broadcast(firsts.select(F.col("part").alias("p"), "top", "before")),
+        (F.col("part") == F.col("p")) & (F.col("key") == F.col("top")),
+    ).groupBy("before").agg(F.first("key").alias("key"), F.min("t").alias("t")).select(
+        F.col("before").alias("part"), "key", "t", F.lit(False).alias("own"))
+    order = [F.col("part"), F.col("own").desc(), F.col("key").desc(), F.col("t")]
     return (
-        placed.select("part", "id", "t", F.lit(True).alias("own")).unionByName(heads.select("part", "id", "t", "own"))
-        .repartition(len(cuts) + 1, "part").sortWithinPartitions(*order)
+        placed.select("part", "key", "t", F.lit(True).alias("own")).unionByName(heads.select("part", "key", "t", "own"))
+        .repartitionById(len(cuts) + 1, "part").sortWithinPartitions(*order)
+        .select("part", F.when(F.col("key.has"), F.col("key.id")).alias("id"), "t", "own")
         .mapInArrow(_pairs(samples), "id long, n_chars long, edited_sha256 string, fingerprint string, "
                                      "edited_fingerprint string, near_edited double, near_next double")
         .withColumnRenamed("id", key)
