@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotweave.llm.common import addressed, table, text_of
+from plotweave.operators.sweeps import prefix_sums
 from plotweave.sources.workspace import staged
 
 WEIGHTS, LIMIT, SEED = (1.0, 2.0, 3.0), 3.0, 17
@@ -38,30 +39,26 @@ def source_targets(sizes: DataFrame, limit: float = LIMIT, weights: tuple = WEIG
     Sources in code-point order, null last, take the weights in turn. A target stops at ``limit``
     times its source's size and the excess is shared by weight among the others until none is
     above: target = min(limit * size, level * weight), where the level makes the targets add up
-    to all sizes. Capped are the sources with the smallest limit * size / weight. The two windows
-    run over one row per source.
+    to all sizes. Capped are the sources with the smallest limit * size / weight. Sources may be
+    as many as web hosts are: their ranks and running sums go over range slices.
     """
     cycle = F.element_at(F.array(*[F.lit(float(w)) for w in weights]),
                          (F.pmod(F.col("place") - 1, F.lit(len(weights))) + 1).cast("int"))
-    every = Window.partitionBy(F.lit(0))
-    by_name = every.orderBy(F.col("source").asc_nulls_last())
-    by_ratio = every.orderBy("ratio", "place")
-    below = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    rest = by_ratio.rowsBetween(0, Window.unboundedFollowing)
+    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs")).select(
+        "*", F.col("source").isNull().alias("none"), F.lit(1).cast("long").alias("one"))
     s = (
-        sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
-        .withColumn("place", F.row_number().over(by_name).cast("long")).withColumn("weight", cycle)
-        .withColumn("cap", F.col("source_size") * F.lit(limit))
+        prefix_sums(s, [], ["none", "source"], "one", "place")
+        .withColumn("weight", cycle).withColumn("cap", F.col("source_size") * F.lit(limit))
         .withColumn("ratio", F.col("cap") / F.col("weight"))
-        .withColumn("all", F.sum("source_size").over(every).cast("double"))
-        .withColumn("level", (F.col("all") - F.coalesce(F.sum("cap").over(below), F.lit(0.0)))
-                    / F.sum("weight").over(rest))
     )
+    s = prefix_sums(s, [], ["ratio", "place"], {"cap": "caps", "weight": "weighed"})
+    every, heavy = s.agg(F.sum("source_size").cast("double"), F.sum("weight")).first()
+    level = (F.lit(every or 0.0) - (F.col("caps") - F.col("cap"))) / (F.lit(heavy or 0.0) - (F.col("weighed") - F.col("weight")))
     # The level holds for the first source, by ratio, that it leaves below its cap.
-    s = s.withColumn("at", F.min(
-        F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "place", "level"))).over(every)["level"])
-    return s.select("source", "source_size", "docs", "place", F.least(
-        "cap", F.coalesce(F.col("at") * F.col("weight"), F.col("cap"))).alias("target"))
+    first = s.withColumn("level", level).where("ratio >= level").agg(
+        F.min(F.struct("ratio", "place", "level"))["level"]).first()[0]
+    target = F.col("cap") if first is None else F.least("cap", F.lit(first) * F.col("weight"))
+    return s.select("source", "source_size", "docs", "place", target.alias("target"))
 
 
 def _uniform(*key: int) -> float:
@@ -139,10 +136,14 @@ def mix(
         .withColumn("p", F.greatest(F.col("ratio") - F.col("whole"), F.lit(0.0)))
     )
     nodes = targets.agg(F.max(F.ceil(F.col("docs") / group))).first()[0] or 1
-    open_rows = wanted.where("size > 0").select(
-        "place", F.pmod(F.xxhash64("hash"), F.ceil(F.col("docs") / group)).alias("node"),
-        "__file", "__row", "hash", "size", "p",
-    )
+    spread, same = wanted.where("size > 0"), F.xxhash64("hash")
+    repeated = staged(sizes.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group)
+                      .select(F.col("hash").alias("many")), "repeated")
+    if not repeated.isEmpty():
+        spread = spread.join(repeated, F.col("hash") == F.col("many"), "left")
+        same = F.when(F.col("many").isNull(), same).otherwise(F.xxhash64("__file", "__row"))
+    open_rows = spread.select("place", F.pmod(same, F.ceil(F.col("docs") / group)).alias("node"),
+                              "__file", "__row", "hash", "size", "p")
     settled, level = [], 0
     while True:
         last = nodes <= 1
@@ -182,3 +183,25 @@ def mixed(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str
 def op6_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The targets alone, a row a source."""
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("source").cast("string").alias("source"), words(text_of("text")).alias("size"))
+    return source_targets(docs).select("source", "source_size", "docs", F.round("target", 6).alias("target"))
+
+
+TARGETS = r"""
+WITH s AS (SELECT source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS source_size,
+    count(*) AS docs FROM documents GROUP BY source),
+w AS (SELECT *, 1.0 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight, 3.0 * source_size AS cap FROM s),
+r AS (SELECT *, CAST(cap AS DOUBLE) / weight AS ratio FROM w),
+l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(CAST(cap AS DOUBLE)) OVER b, 0))
+    / sum(CAST(weight AS DOUBLE)) OVER a AS level FROM r
+  WINDOW b AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    a AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT source, source_size, docs, round(least(CAST(cap AS DOUBLE),
+    coalesce((SELECT arg_min(level, ratio) FROM l WHERE ratio >= level) * CAST(weight AS DOUBLE), CAST(cap AS DOUBLE))), 6) AS target
+FROM l
+"""
