@@ -178,16 +178,21 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
         .mapInArrow(_cut_tiles(tile), "block int, bucket int, low int, high int, first long, fps binary"),
         "tiles",
     )
-    a = tiles.repartition(parts, "block", "bucket")
-    b = a.select("block", "bucket", F.col("low").alias("low2"), F.col("first").alias("first2"),
-                 F.col("fps").alias("other"))
-    pairs = a.join(b, ["block", "bucket"]).where(
-        ((F.col("low") < F.col("low2")) | ((F.col("low") == F.col("low2")) & (F.col("first") <= F.col("first2"))))
+    # Pairs of tiles are found by what the tiles span and dealt one by one, so that a bucket of
+    # any number of tiles is compared by many tasks.
+    inner = tiles.select("fps", F.col("fps").alias("other"), F.lit(True).alias("same"))
+    spans = tiles.select("block", "bucket", "low", "high", "first")
+    others = spans.select("block", "bucket", F.col("low").alias("low2"), F.col("first").alias("first2"))
+    pairs = spans.join(others, ["block", "bucket"]).where(
+        ((F.col("low") < F.col("low2")) | ((F.col("low") == F.col("low2")) & (F.col("first") < F.col("first2"))))
         & (F.col("low2") <= F.col("high") + radius)
+    ).select("block", "first", "first2")
+    outer = (
+        staged(pairs, "pairs").join(tiles.select("block", "first", "fps"), ["block", "first"])
+        .join(tiles.select("block", F.col("first").alias("first2"), F.col("fps").alias("other")), ["block", "first2"])
+        .select("fps", "other", F.lit(False).alias("same"))
     )
-    return pairs.select(
-        "fps", "other", ((F.col("low") == F.col("low2")) & (F.col("first") == F.col("first2"))).alias("same")
-    ).mapInArrow(_compare(radius), "src long, dst long").distinct()
+    return inner.unionByName(outer).mapInArrow(_compare(radius), "src long, dst long").distinct()
 
 
 def simhash_groups(
