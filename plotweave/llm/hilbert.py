@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from plotweave.llm.common import addressed, table, text_of
 from plotweave.operators.ranks import ranked
+from plotweave.operators.sweeps import prefix_sums
 from plotweave.sources.workspace import staged
 
 SHARDS, BITS = 8, 5
@@ -55,22 +56,31 @@ def hilbert_index(coordinates: list[Column], bits: int) -> Column:
     return F.aggregate(steps, x, step, last) if bits > 1 else last(x)
 
 
+def _running(df: DataFrame, column: str, n_name: str = "upto") -> DataFrame:
+    """``value``, ``n``, ``upto``: the column's values in order, null first, with their rows so far."""
+    n = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return prefix_sums(n, [], ["value"], "n", n_name)
+
+
 def text_cells(df: DataFrame, column: str, bits: int) -> DataFrame:
     """``value``, ``cell`` of a text column: its values in order, cut by their shares of the rows."""
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("value").asc_nulls_first())
-    n = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    middle = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n") / 2
-    return n.select("value", F.floor(
-        middle * (1 << bits) / F.sum("n").over(Window.partitionBy(F.lit(0)))).alias("cell"))
+    middle = F.col("upto") - F.col("n") / 2
+    return _running(df, column).select("value", F.floor(middle * (1 << bits) / max(1, df.count())).alias("cell"))
 
 
 def number_cell(df: DataFrame, column: str, bits: int) -> Column:
-    """The cell of a number among quantiles, of which there are 2^bits - 1; null is in the first."""
-    shares = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = df.agg(F.percentile_approx(column, shares, 10_000)).first()[0] or []
+    """The cell of a number among exact quantiles, of which there are 2^bits - 1; null is in the first.
+
+    A quantile is the least value that its share of the rows isn't above; it ends its cell.
+    """
+    rows, cells = df.where(F.col(column).isNotNull()), 1 << bits
+    n = max(1, rows.count())
+    share = lambda c: F.floor(c * cells / n)  # noqa: E731  quantiles reached by a number of rows
+    cuts = _running(rows, column).where(
+        (share(F.col("upto")) > share(F.col("upto") - F.col("n"))) & (F.col("upto") < n)).select("value").collect()
     cell = F.lit(0)
-    for cut in sorted(set(cuts)):
-        cell = cell + F.when(F.col(column) > cut, 1).otherwise(0)
+    for r in cuts:  # fewer than there are cells
+        cell = cell + F.when(F.col(column) > r["value"], 1).otherwise(0)
     return cell
 
 
@@ -98,9 +108,12 @@ def assign_shards(
     for i in range(len(by_text)):
         cells = text_cells(rows, f"d{i}", bits).select(F.col("value").alias(f"v{i}"), F.col("cell").alias(f"c{i}"))
         placed = placed.join(cells, F.col(f"d{i}").eqNullSafe(F.col(f"v{i}")))
-    coordinates = [*[F.col(f"c{i}") for i in range(len(by_text))], number_cell(rows, "size", bits)]
-    placed = staged(placed.select("__file", "__row", "id", "size", "crc",
-                                  hilbert_index(coordinates, bits).alias("curve")), "curve")
+    axes = [f"c{i}" for i in range(len(by_text) + 1)]
+    placed = staged(placed.withColumn(axes[-1], number_cell(rows, "size", bits).cast("long"))
+                    .select("__file", "__row", "id", "size", "crc", *axes), "cells")
+    # The curve is folded once a cell; there are at most 2^(bits * dimensions) of them.
+    curve = placed.select(*axes).distinct().withColumn("curve", hilbert_index([F.col(c) for c in axes], bits))
+    placed = placed.join(F.broadcast(curve), axes).drop(*axes)
     order = Window.partitionBy(F.lit(0)).orderBy("curve").rowsBetween(Window.unboundedPreceding, -1)
     runs = placed.groupBy("curve").agg(F.count(F.lit(1)).alias("n")).select(
         "curve", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("start"),
@@ -137,3 +150,20 @@ def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def shard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the law of rows says: rows and slots by shard."""
+    return op9_hilbert_shards(spark, sf_dir).groupBy("shard").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("slot").alias("slots"), F.min("slot").alias("first"),
+        F.max("slot").alias("last"), F.sum("size").alias("sizes")).agg(
+        F.sum("rows").alias("rows"), F.sum("slots").alias("slots"), F.max("first").alias("first"),
+        F.sum(F.col("last") + 1).alias("lasts"), (F.max("rows") - F.min("rows") <= 1).alias("even"),
+        F.sum("sizes").alias("sizes"))
+
+
+COUNTS = """
+SELECT count(*) AS rows, count(*) AS slots, CAST(0 AS BIGINT) AS first, count(*) AS lasts, true AS even,
+    CAST(sum(octet_length(encode(coalesce(text, ''))) + 1) AS BIGINT) AS sizes
+FROM documents
+"""
