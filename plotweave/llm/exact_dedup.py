@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from plotweave.llm.common import addressed, table, text_of, without_space
 from plotweave.sources.workspace import new_path, staged
 
-#: Bits of the digest that address the bitmap of hit digests: 2^24 bits, 262,144 longs at most.
-BITMAP_BITS = 24
+#: Bits of the bitmap of hit digests for each of them, and the logarithm of the most bits that are
+#: broadcast (16 MB); with more hits, texts are matched by an equi-join instead.
+BITS_A_HIT, BITMAP_BITS = 16, 27
 #: The state lives in RocksDB; its files are not preallocated (there is one small store per
 #: partition) and a batch writes its changes rather than a copy of the store.
 _STORE = "spark.sql.streaming.stateStore"
@@ -42,32 +43,26 @@ def keyed_state(spark: SparkSession, ledger: DataFrame, path: str, max_bytes: in
 
     Micro-batches take ``max_bytes`` of ledger each, and a query that is lost resumes from its
     checkpoint. Partial aggregation before the shuffle leaves one row per digest and task, so a
-    digest that holds a third of all rows doesn't burden the task that keeps it.
+    digest that holds a third of all rows doesn't burden the task that keeps it. The settings of
+    the state are those of a session of its own.
     """
-    checkpoint = new_path(spark, "state")
-    conf = STATE_CONF | (LOCAL_CONF if checkpoint.startswith(("file:", "/")) else {})
-    before = {k: spark.conf.get(k, None) for k in conf}
-    for k, v in conf.items():
-        spark.conf.set(k, v)
-    try:
-        query = (
-            spark.readStream.schema(ledger.schema).option("maxBytesPerTrigger", max_bytes)
-            .parquet(path)
-            .groupBy("digest").agg(F.max(_rank()).alias("best"), F.count(F.lit(1)).alias("size"))
-            .writeStream.format("noop").outputMode("update")
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        )
-        query.awaitTermination()
-        kept = spark.read.format("statestore").load(checkpoint)
-        best, size = (F.col("value")[f.name] for f in kept.schema["value"].dataType.fields[:2])
-        return staged(
-            kept.select(F.col("key")["digest"].alias("digest"), best.alias("best"),
-                        size.alias("size")),
-            "digests",
-        )
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    checkpoint, out = new_path(spark, "state"), new_path(spark, "digests")
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    for k, v in (STATE_CONF | (LOCAL_CONF if checkpoint.startswith(("file:", "/")) else {})).items():
+        own.conf.set(k, v)
+    query = (
+        own.readStream.schema(ledger.schema).option("maxBytesPerTrigger", max_bytes)
+        .parquet(path)
+        .groupBy("digest").agg(F.max(_rank()).alias("best"), F.count(F.lit(1)).alias("size"))
+        .writeStream.format("noop").outputMode("update")
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    kept = own.read.format("statestore").load(checkpoint)
+    value = F.col("value")  # its fields have the names of the aggregates' buffers
+    kept.select(F.col("key")["digest"].alias("digest"), value["max"].alias("best"),
+                value["count"].alias("size")).write.parquet(out)
+    return spark.read.parquet(out)
 
 
 def exact_dedup(
@@ -100,22 +95,25 @@ def exact_dedup(
     ledger = spark.read.parquet(path)
     state = keyed_state(spark, ledger, path, max_bytes)
 
-    # Full bytes of the hits. A bitmap of fixed size keeps texts without a copy out of the
-    # shuffle; a false positive is a class of one row.
-    place = F.conv(F.hex(F.substring("digest", 1, 3)), 16, 10).cast("long")
-    word, bit = F.shiftright(place, 6), F.expr("cast(place & 63 as int)")
-    hits = (
-        state.where("size > 1").withColumn("place", place)
-        .select(F.shiftright("place", 6).alias("word"),
-                F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
-        .groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    )
-    content = (
-        rows.withColumn("sha", sha).withColumn("digest", digest).withColumn("place", place)
-        .withColumn("word", F.shiftright("place", 6))
-        .join(F.broadcast(hits), "word")
-        .where(F.expr("(shiftright(bits, cast(place & 63 as int)) & 1) = 1"))
-    )
+    # Full bytes of the hits. A bitmap that grows with them, within its bound, keeps texts
+    # without a copy out of the shuffle; a false positive is a class of one row.
+    hit = state.where("size > 1").select("digest")
+    bits = max(10, (BITS_A_HIT * hit.count()).bit_length())
+    content = rows.withColumn("sha", sha).withColumn("digest", digest)
+    if bits <= BITMAP_BITS:
+        head = F.conv(F.rpad(F.hex(F.substring("digest", 1, 4)), 8, "0"), 16, 10).cast("long")
+        place = F.shiftright(head, 32 - bits)
+        one = F.expr("shiftleft(1L, cast(place & 63 as int))")
+        words = (
+            hit.withColumn("place", place).select(F.shiftright("place", 6).alias("word"), one.alias("bit"))
+            .groupBy("word").agg(F.bit_or("bit").alias("bits"))
+        )
+        content = (
+            content.withColumn("place", place).withColumn("word", F.shiftright("place", 6))
+            .join(F.broadcast(words), "word").where(F.col("bits").bitwiseAND(one) != 0)
+        )
+    else:
+        content = content.join(hit, "digest", "left_semi")
     classes = content.groupBy("digest", "norm").agg(
         F.max(_rank()).alias("best"), F.count(F.lit(1)).alias("size")
     )
