@@ -34,6 +34,8 @@ class Template:
     #: From a state (the last role, "" at the start) to the roles that may follow.
     follows: dict = field(default_factory=lambda: {
         "": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)})
+    #: States in which a conversation may end.
+    ends: tuple = ("assistant",)
 
     def escape(self, text: str, *more: str) -> str:
         found = "|".join(map(re.escape, (*self.controls, *more)))
@@ -78,24 +80,34 @@ SEGMENTS = "conv_id long, turn int, part int, text string, loss boolean, valid b
 
 
 def _emit(template: Template):
+    names = ["conv_id", "turn", "part", "text", "loss", "valid"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.bool_()]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
+
+    def parts(turn: tuple, ends: bool) -> list[tuple]:
+        """The segments of a turn; the last one of a conversation has to be one that may end it."""
+        conv, n, role, text, valid = turn
+        valid = valid and (not ends or role in template.ends)
+        return [(conv, n, 0, template.head(role), False, valid),
+                (conv, n, 1, template.escape(text), role in template.loss, valid),
+                (conv, n, 2, template.tail + template.after, False, valid)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, turn, state = object(), 0, ""
+        held = None  # the turn before, until it is known whether it is the last
         for b in batches:
             rows = []
             for conv, role, text in zip(*(b.column(c).to_pylist() for c in ("conv_id", "role", "text"))):
-                if conv != at:
-                    at, turn, state = conv, 0, ""
-                valid = role in template.follows.get(state, ())
-                loss = role in template.loss
-                rows += [(conv, turn, 0, template.head(role), False, valid),
-                         (conv, turn, 1, template.escape(text), loss, valid),
-                         (conv, turn, 2, template.tail + template.after, False, valid)]
-                turn, state = turn + 1, role
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.bool_()]
-            columns = zip(*rows) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), k) for c, k in zip(columns, kinds)],
-                names=["conv_id", "turn", "part", "text", "loss", "valid"])
+                first = held is None or held[0] != conv
+                if held is not None:
+                    rows += parts(held, first)
+                state, n = ("", 0) if first else (held[2], held[1] + 1)
+                held = (conv, n, role, text, role in template.follows.get(state, ()))
+            yield batch(rows)
+        if held is not None:
+            yield batch(parts(held, True))
 
     return run
 
@@ -107,7 +119,8 @@ def segments(turns: DataFrame, template: Template = Template()) -> DataFrame:
     then role and text, so that repeated turn numbers have one order. Null roles and texts are
     empty; rows with a null ``conv_id`` make one conversation. Roles that the template doesn't
     name keep their name in the mark. All conversations are formatted; ``valid`` is false on the
-    segments of a turn that the machine doesn't allow after the one before. Rows of a partition
+    segments of a turn that the machine doesn't allow after the one before, and of a last turn
+    with which a conversation can't end. Rows of a partition
     are sorted by conversation and position; concatenated, ``text`` is the formatted output.
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn",
@@ -198,7 +211,8 @@ ORACLE = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
     UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-p AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS last FROM t)
+p AS (SELECT *, lag(role) OVER w AS last, lead(role) OVER w AS next
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text))
 SELECT conv_id, count(*) AS n_turns,
     sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
     CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
@@ -207,6 +221,7 @@ SELECT conv_id, count(*) AS n_turns,
         ELSE 7 + length(regexp_replace(role, '(\\|### |</turn>|: )', '\\\1', 'g')) END
       + length(regexp_replace(text, '(\\|### |</turn>)', '\\\1', 'g')) + 8) AS BIGINT) AS formatted_chars,
     bool_and(coalesce((last IS NULL AND role IN ('system', 'user')) OR (last = 'system' AND role = 'user')
-      OR (last = 'user' AND role = 'assistant') OR (last = 'assistant' AND role = 'user'), false)) AS valid
+      OR (last = 'user' AND role = 'assistant') OR (last = 'assistant' AND role = 'user'), false)
+      AND (next IS NOT NULL OR role = 'assistant')) AS valid
 FROM p GROUP BY conv_id
 """

@@ -17,9 +17,13 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_hilbert_shards": hilbert.op9_hilbert_shards,
     "op10_chat_format": chat.op10_chat_format,
+    "mixing_targets": mixing.mixing_targets,
+    "shard_counts": hilbert.shard_counts,
 }
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op3_url_filter": urlfilter.ORACLE,
     "op10_chat_format": chat.ORACLE,
+    "mixing_targets": mixing.TARGETS,
+    "shard_counts": hilbert.COUNTS,
 }

@@ -86,6 +86,14 @@ def test_exact_dedup_collisions_at_scale(docs, texts):
     assert all((r["group_size"], r["keep_id"]) == expected[strip(texts[r["doc_id"]])] for r in got)
 
 
+@pytest.mark.parametrize("bits", [4, 27])
+def test_dedup_with_and_without_a_bitmap(docs, texts, monkeypatch, bits):
+    monkeypatch.setattr(exact_dedup, "BITMAP_BITS", bits)
+    expected = dedup_classes(texts.items())
+    got = rows_of(exact_dedup.exact_dedup(docs))
+    assert all((r["group_size"], r["keep_id"]) == expected[strip(texts[r["doc_id"]])] for r in got)
+
+
 def test_dedup_in_small_batches(docs):
     a = exact_dedup.exact_dedup(docs, max_bytes=1).drop("__file", "__row")
     assert sorted(a.collect()) == sorted(exact_dedup.exact_dedup(docs).drop("__file", "__row").collect())
@@ -243,9 +251,29 @@ def test_cascade_is_exact_with_poor_filters(spark, monkeypatch):
     cascade = urlfilter.Cascade.build(universe, [*listed, "not in the universe"])
     assert len(cascade.levels) > 3
     assert sorted(r["key"] for r in universe.where(cascade.contains(F.col("key"))).collect()) == sorted(listed)
-    monkeypatch.setattr(urlfilter, "MAX_BITS", 64)
-    with pytest.raises(ValueError):
-        urlfilter.Cascade.build(universe, listed)
+
+
+def test_lists_too_long_for_a_literal(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate([*URLS, *URLS])], "page_id long, url string, key string")
+    short = sorted(map(tuple, urlfilter.judge_urls(pages).collect()), key=str)
+    for most in (0, 24, 40):  # both lists joined, or one of them
+        monkeypatch.setattr(urlfilter, "MAX_BITS", most)
+        assert sorted(map(tuple, urlfilter.judge_urls(pages).collect()), key=str) == short
+    hosts = [f"h{i}.example" for i in range(3000)]
+    monkeypatch.setattr(urlfilter, "MAX_BITS", 1 << 10)
+    many = spark.range(4000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a.h"), "id", F.lit(".example/x")).alias("url"))
+    got = urlfilter.judge_urls(many, [], hosts)
+    assert {(r["page_id"], r["verdict"]) for r in got.collect()} == {(i, "block" if i < 3000 else "allow") for i in range(4000)}
+
+
+def test_very_long_urls(spark):
+    import time
+    hosts = [".".join("a" * 50_000) + ".example.org", "x." * 300_000 + "free-bets.example.com", "b" * 10**6, "." * 200_000]
+    urls = [f"http://{h}/{'es/' * n}" for h in hosts for n in (1, 100_000)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    began = time.monotonic()
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.judge_urls(pages).collect()}
+    assert time.monotonic() - began < 30 and got == {i: judge(u) for i, u in enumerate(urls)}
 
 
 # --- 4 fingerprints --------------------------------------------------------------------------
@@ -262,16 +290,33 @@ def jaccard(a, b):
     return sum((a & b).values()) / max(1, sum((a | b).values()))
 
 
-@pytest.mark.parametrize("task_bytes", [32 << 20, 20_000])
-def test_next_and_edited(odd, task_bytes):
-    got = rows_of(weighted.compare_with_next(odd, task_bytes=task_bytes))
-    order = sorted(ROWS, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
-    expected = Counter()
+def expected_pairs(order):
+    out = Counter()
     for (i, t, *_), (_, u, *_) in zip(order, order[1:] + order[:1]):
         t, u = t or "", u or ""
         part = len(t) // 3
-        expected[i, len(t), hashlib.sha256((t[:len(t) - part] + u[:part]).encode()).hexdigest()] += 1
-    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == expected
+        out[i, len(t), hashlib.sha256((t[:len(t) - part] + u[:part]).encode()).hexdigest()] += 1
+    return out
+
+
+def test_one_id_with_a_third_of_the_rows(spark):
+    """An id, or null, that many rows share is cut like the rest: no range is much above the mean."""
+    text = F.concat(F.lit("w " * 300), F.col("id"))
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 3 == 1, F.col("id")).cast("long").alias("doc_id"), text.alias("text"))
+    got = weighted.compare_with_next(df, task_bytes=60_000, samples=8).select("doc_id", F.spark_partition_id().alias("p")).collect()
+    counts = Counter(r["p"] for r in got)
+    assert len(got) == 3000 and len(counts) > 20 and max(counts.values()) < 2.5 * 3000 / len(counts)
+    assert Counter(r["doc_id"] for r in got) == Counter(7 if i % 3 == 0 else i if i % 3 == 1 else None for i in range(3000))
+
+
+@pytest.mark.parametrize("task_bytes", [32 << 20, 20_000])
+def test_next_and_edited(odd, task_bytes):
+    got = rows_of(weighted.compare_with_next(odd, task_bytes=task_bytes))
+    found = Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got)
+    order = sorted(ROWS, key=lambda r: (r[0] is None, -(r[0] or 0)))
+    assert [r[0] for r in order[-2:]] == [None, None]  # rows of one id come in either order
+    assert found in [expected_pairs(o) for o in (order, [*order[:-2], order[-1], order[-2]])]
     assert all(0 <= r[c] <= 1 for r in got for c in ("near_edited", "near_next"))
 
 
@@ -348,6 +393,42 @@ def test_quality_of_odd_tables(spark, odd):
     assert quality.score_quality(odd.limit(0), labels).count() == 0
 
 
+def slow_statistics(t):
+    t = t or ""
+    n = max(1, len(t))
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
+    lines = [x for x in t.split("\n") if x]
+    count = lambda keep: sum(map(keep, t))
+    import unicodedata
+    letter = lambda c: unicodedata.category(c)[0] == "L"
+    return {
+        "log_words": np.log1p(len(w)), "word_length": sum(map(len, w)) / max(1, len(w)), "letters": count(letter) / n,
+        "capitals": count(lambda c: unicodedata.category(c) == "Lu") / n, "digits": count(lambda c: c in "0123456789") / n,
+        "symbols": count(lambda c: not letter(c) and unicodedata.category(c)[0] != "N"
+                         and c not in " \t\n\x0b\f\r" and c not in ".,;:!?'\"()-") / n,
+        "bangs": count(lambda c: c in "!?") / n, "stops": t.count(".") / n, "commas": t.count(",") / n,
+        "distinct_words": len(set(w)) / max(1, len(w)), "log_lines": np.log1p(len(lines)),
+        "distinct_lines": len(set(lines)) / max(1, len(lines)), "words_a_line": np.log1p(len(w) / max(1, len(lines))),
+    }
+
+
+def test_statistics_and_compiled_score_equal_brute_force(spark, odd, docs):
+    for table in (odd, docs):
+        stats, names = quality.with_statistics(table)
+        got, texts_ = stats.collect(), defaultdict(list)
+        for r in table.collect():
+            texts_[r["doc_id"]].append(slow_statistics(r["text"]))
+        assert all(any(all(r[c] == pytest.approx(x[c], abs=1e-9) for c in names) for x in texts_[r["id"]]) for r in got)
+    rng = np.random.default_rng(1)
+    x = np.array([[r[c] for c in names] for r in got])
+    model = quality.fit(names, x, (x[:, 0] + 0.3 * rng.random(len(x)) > np.median(x[:, 0])).astype(float))
+    assert len(model.rules) > 1
+    for r in stats.select("*", model.score().alias("score")).collect():
+        total = model.bias + sum(w for rule, w in zip(model.rules, model.weights)
+                                 if all((r[n] > cut) == above for n, above, cut in rule))
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9)
+
+
 def test_rules_separate():
     rng = np.random.default_rng(0)
     x = rng.random((600, 3))
@@ -401,6 +482,31 @@ def test_mix(docs, group):
     assert again == {r["doc_id"]: r["taken"] for r in got}
 
 
+def test_mix_of_one_repeated_row(spark):
+    """A third of the rows are one row: they are dealt to many groups, and targets are met."""
+    rows = [(1, "a b c", "x")] * 400 + [(i, "d " * (i % 9 + 1), "y") for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got, taken = rows_of(mixing.mix(df, group=50)), Counter()
+    expected = targets_of({"x": 1200, "y": sum(i % 9 + 1 for i in range(800))})
+    for r in got:
+        taken["x" if r["doc_id"] == 1 and r["size"] == 3 and r["source_size"] == 1200 else "y"] += r["taken"]
+    assert all(abs(taken[s] - expected[s]) <= 9 for s in expected)
+    assert sorted(map(str, got)) != [] and len(got) == 1200
+
+
+def test_mix_of_many_sources(spark):
+    """As many sources as documents: targets by SQL's rule, without a task for all of them."""
+    rows = [(i, "w " * (i * 7 % 40), f"host{i * 37 % 1000}" if i % 11 else None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += words(t)
+    expected = targets_of(dict(sizes))
+    for r in rows_of(mixing.mix(df)):
+        s = rows[r["doc_id"]][2]
+        assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(expected[s])
+
+
 def test_mix_of_odd_tables(odd):
     got = rows_of(mixing.mix(odd))
     sizes = Counter()
@@ -643,6 +749,20 @@ def test_links_lose_nothing(spark):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, truth.values()))
 
 
+def test_tile_pairs_of_one_bucket_go_to_many_tasks(spark):
+    """All fingerprints share a bucket: its pairs of tiles aren't one task's."""
+    df = spark.range(600).select((F.col("id") * 8).alias("fp"))
+    from plotweave.operators.components import connected_components
+    with_conf = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["node"]: r["component"] for r in connected_components(simhash.links(df, tile=16)).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", with_conf)
+    expected = components([(i * 8, i * 8) for i in range(600)])
+    assert all(got.get(f, f) == expected[f] for f in expected)
+
+
 def test_tile_of_one_large_group():
     a = np.arange(4096, dtype=np.int64) & 7  # all within three bits
     a = np.unique(a)
@@ -663,6 +783,23 @@ def test_hilbert_visits_every_cell_by_single_steps(spark, n, bits):
     assert all(sum(abs(x - y) for x, y in zip(a[1:], b[1:])) == 1 for a, b in zip(got, got[1:]))
 
 
+def test_cells_equal_brute_force(spark, odd):
+    rng = random.Random(9)
+    values = [rng.choice([None, *range(30), *[7] * 20]) for _ in range(500)]
+    names = [None if v is None else f"s{v:02d}" for v in values]
+    df = spark.createDataFrame(list(zip(values, names)), "v long, s string")
+    for bits in (1, 3, 5):
+        whole = sorted(v for v in values if v is not None)
+        cuts = sorted({whole[-(-k * len(whole) // (1 << bits)) - 1] for k in range(1, 1 << bits)} - {whole[-1]})
+        got = df.select("v", hilbert.number_cell(df, "v", bits).alias("c")).distinct().collect()
+        assert {(r["v"], r["c"]) for r in got} == {(v, sum(v > c for c in cuts) if v is not None else 0) for v in values}
+        below, cells, n = 0, {}, Counter(names)
+        for s in sorted(n, key=lambda x: (x is not None, x)):
+            cells[s] = int((below + n[s] / 2) * (1 << bits) / 500)
+            below += n[s]
+        assert {r["value"]: r["cell"] for r in hilbert.text_cells(df, "s", bits).collect()} == cells
+
+
 @pytest.mark.parametrize("shards", [1, 8, 40])
 def test_shards(odd, shards):
     got = rows_of(hilbert.assign_shards(odd, shards))
@@ -701,7 +838,8 @@ def test_template_round_trip():
 
 def test_chat(spark):
     turns = [(1, 0, "user", "a"), (1, 1, "assistant", "b</turn>\\"), (1, 1, "assistant", "b</turn>\\"), (2, None, None, None),
-             (2, 0, "tool: x", "### User: "), (None, 3, "assistant", ""), (3, 1, "assistant", "second"), (3, 0, "user", "first")]
+             (2, 0, "tool: x", "### User: "), (None, 3, "assistant", ""), (3, 1, "assistant", "second"), (3, 0, "user", "first"),
+             (4, 0, "user", "no answer"), (5, 0, "system", "s"), (5, 1, "user", "\\### User: </turn> " * 60_000), (5, 2, "assistant", "### " * 400_000)]
     df = spark.createDataFrame([(*t, "x") for t in turns], "conv_id long, turn long, role string, text string, valid string")
     formatted = chat.segments(df)
     got = {r["conv_id"]: r for r in chat.read_back(formatted).collect()}
@@ -715,7 +853,7 @@ def test_chat(spark):
         loss = "".join(x for *_, r, x in rows if r == "assistant")
         assert got[c]["n_turns"] == len(rows) and got[c]["turns_sha256"] == hashlib.sha256(everything.encode()).hexdigest()
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    assert {c: r["valid"] for c, r in got.items()} == {1: False, 2: False, None: False, 3: True}
+    assert {c: r["valid"] for c, r in got.items()} == {1: False, 2: False, None: False, 3: True, 4: False, 5: True}
     text = "".join(r["text"] for r in formatted.where("conv_id = 3").orderBy("turn", "part").collect())
     assert text == "### User: first</turn>\n### Assistant: second</turn>\n" and got[3]["formatted_chars"] == len(text)
     assert chat.read_back(chat.segments(df.limit(0))).count() == 0
@@ -767,7 +905,8 @@ def test_addresses(spark, odd):
 def test_search_among_cuts(spark):
     rng = random.Random(6)
     for n in (0, 1, 2, 3, 7, 8, 100):
-        cuts = sorted(rng.sample(range(-50, 200), n))
-        df = spark.range(300).select((F.col("id") - 75).alias("v"))
-        got = {r["v"]: r["n"] for r in df.select("v", weighted._not_above(cuts, F.col("v")).alias("n")).collect()}
-        assert got == {v: sum(c <= v for c in cuts) for v in got}
+        cuts = sorted({(rng.random() < 0.8, rng.randint(-3, 3), rng.choice([-2**63, -5, 0, 9])) for _ in range(n)})
+        values = [(rng.random() < 0.8, rng.randint(-4, 4), rng.choice([-2**63, -5, 0, 9, 2**63 - 1])) for _ in range(100)]
+        df = spark.createDataFrame(values, "has boolean, id long, h long").select(F.struct("has", "id", "h").alias("v"))
+        got = df.select("v", weighted._not_above(cuts, F.col("v")).alias("n")).collect()
+        assert all(r["n"] == sum(c <= tuple(r["v"]) for c in cuts) for r in got)
