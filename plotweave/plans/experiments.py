@@ -121,8 +121,8 @@ def measure(units: DataFrame, edges: DataFrame, done: DataFrame) -> DataFrame:
     report = balance.population_report(balance.district_populations(units, part, PROBLEM), PROBLEM)
     base = done.groupBy(*PROBLEM).agg(
         F.max("error").alias("error"), F.max("seconds").alias("runtime_s"),
-        F.max(F.col("stats")["moves_applied"]).cast("long").alias("refine_iterations"),
-        F.max(F.col("stats")["improvement_pct"]).alias("refine_improvement_pct"))
+        F.max(F.col("stats")["moves"]).cast("long").alias("refine_iterations"),
+        F.max(F.col("stats")["gain_pct"]).alias("refine_improvement_pct"))
     order = F.array_position(F.array(*[F.lit(n) for n in NAMES]), F.col("experiment"))
     return (
         base.join(cut, PROBLEM, "left").join(report.select(*PROBLEM, "districts", "max_abs_deviation_pct"), PROBLEM, "left")
