@@ -6,16 +6,15 @@ import argparse
 import json
 import shutil
 import time
-from dataclasses import asdict, replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.operators import dissolve
+from plotweave.operators import dissolve, kway, ranking
 from plotweave.operators.ranking import SATURATION
 from plotweave.plans import apportionment, experiments, tasks
-from plotweave.sources import sinks, tables
+from plotweave.sources import sinks, tables, workspace
 
 
 def session() -> SparkSession:
@@ -51,12 +50,18 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--tolerance", type=float, default=0.005)
         p.add_argument("--angle-steps", type=int, default=180)
         p.add_argument("--full-artifacts", action="store_true")
+        p.add_argument("--iterations", type=_count, default=200_000, help="steps of annealing")
+        p.add_argument("--cooling", type=float, default=0.99995)
+        p.add_argument("--temperature", type=float, help="start of annealing; found from the partition if not given")
+        p.add_argument("--ctype", choices=kway.MATCHINGS, default=kway.MATCHINGS[0])
+        p.add_argument("--recursive", action="store_true", help="bisect only; districts may fall apart before repair")
 
     p = command("run", "one algorithm on one state")
     p.add_argument("state")
     p.add_argument("--algorithm", choices=("splitline", "metis", "annealing"), default="metis")
     p.add_argument("--districts", type=_count)
     p.add_argument("--no-refine", action="store_true")
+    p.add_argument("--start", choices=sorted(experiments.STARTS), default="splitline", help="what annealing begins with")
     shared(p)
     p = command("compare", "all experiments on one state")
     p.add_argument("state")
@@ -69,6 +74,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--force", action="store_true")
     p.add_argument("--cpu", type=_percent)
     p.add_argument("--max-workers", type=_count)
+    p.add_argument("--poll", type=float, default=3.0, help="seconds between looks at the load and the control log")
     shared(p)
     p = command("multi-start", "many seeds of some experiments on one state")
     p.add_argument("state")
@@ -84,6 +90,12 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def options(args) -> dict:
+    """What the partitioners are told."""
+    return {"tolerance": args.tolerance, "angle_steps": args.angle_steps, "anneal_iterations": args.iterations, "cooling": args.cooling,
+            "temperature": args.temperature, "ctype": args.ctype, "recursive": args.recursive, "contiguous": not args.recursive}
+
+
 def load(spark: SparkSession, args, codes: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Units, edges and outlines of some states."""
     units = tables.read_units(spark, args.data, codes)
@@ -114,7 +126,7 @@ def run(spark: SparkSession, args) -> dict:
     units, edges, outlines = load(spark, args, [code])
     state = _state(outlines, code, args.districts)
     done, results = experiments.run(units, edges, k=state["n_districts"], algorithm=args.algorithm, refine=not args.no_refine,
-                                    seed=args.seed, tolerance=args.tolerance, angle_steps=args.angle_steps)
+                                    seed=args.seed, start=args.start, **options(args))
     result = results.first().asDict()
     _write(Path(args.output), units, done, result, state, args.seed, None)
     if result["status"] != "ok":
@@ -136,7 +148,7 @@ def compare(spark: SparkSession, args, code: str | None = None, names: list[str]
     units, edges, outlines = load(spark, args, [code])
     state = _state(outlines, code, getattr(args, "districts", None))
     done, ranked = experiments.compare(units, edges, k=state["n_districts"], experiments=names, seed=args.seed,
-                                       tolerance=args.tolerance, angle_steps=args.angle_steps, outlines=outlines)
+                                       outlines=outlines, **options(args))
     rows = [r.asDict() for r in ranked.orderBy(F.col("rank").asc_nulls_last(), "input_order").collect()]
     record(units, done, rows, state, folder or Path(args.output), args.seed, args.full_artifacts)
     return rows
@@ -159,32 +171,82 @@ def _cached(code: str, path: Path) -> dict:
     return _summary(code, rows, 0.0) | {"status": "failed" if ranked["leader"] is None else "skipped"}
 
 
+def run_task(spark: SparkSession, args, code: str, name: str, folder: Path) -> None:
+    """One experiment of one state; its districts and result are left in the state's folder, and a
+    result that is there already is kept unless all is to be done anew."""
+    home = folder / "experiments" / name
+    if (home / "task_result.json").exists() and not args.force:
+        return
+    units, edges, outlines = load(spark, args, [code])
+    state = _state(outlines, code, None)
+    done, ranked = experiments.compare(units, edges, k=state["n_districts"], experiments=[name], seed=args.seed,
+                                       outlines=outlines, **options(args))
+    result = ranked.first().asDict()
+    _write(home, units, done, result, state, args.seed, None if args.full_artifacts else set(sinks.LIGHT_FORMATS))
+    done.write.mode("overwrite").parquet(f"{home}/districts.parquet")
+    (home / "task_result.json").write_text(sinks.task_result_json(result))
+
+
+def finish_state(spark: SparkSession, args, code: str, names: list[str], folder: Path) -> list[dict]:
+    """Rank what a state's tasks have left; an experiment without a result has failed."""
+    units, _, outlines = load(spark, args, [code])
+    state = _state(outlines, code, None)
+    order = spark.createDataFrame(list(enumerate(names, 1)), "input_order int, experiment string")
+    there = any((folder / "experiments").glob("*/task_result.json"))
+    found = (sinks.read_task_results(spark, f"{folder}/experiments") if there
+             else spark.createDataFrame([], sinks.read_schema())).drop("input_order")
+    results = order.join(found, "experiment", "left").select(
+        F.lit(code).alias("state_code"), F.lit(0).alias("trial"), "*").withColumns({
+            "error": F.when(F.col("status").isNull(), F.lit("no result")).otherwise(F.col("error")),
+            "status": F.coalesce("status", F.lit("failed"))})
+    rows = [r.asDict() for r in ranking.rank_experiments(results).orderBy(F.col("rank").asc_nulls_last(), "input_order").collect()]
+    if leader := next((r for r in rows if r["rank"] == 1), None):
+        done = spark.read.parquet(f"{folder}/experiments/{leader['experiment']}/districts.parquet")
+        _write(folder, units, done, leader, state, args.seed, None)
+    sinks.write_state_record(folder, state, rows)
+    return rows
+
+
 def validate(spark: SparkSession, args) -> list[dict]:
-    """Batches of states; with ``--cpu`` several at once under the control file."""
+    """Batches of states. With ``--cpu`` every experiment of a state is a job of its own, several at
+    once under the operator's control, and a batch that was broken off goes on where it was."""
     codes = apportionment.states_of(args.tier, args.states)
-    names = None if args.algorithms is None else experiments.check_names([a.strip() for a in args.algorithms.split(",")])
+    names = experiments.check_names([a.strip() for a in args.algorithms.split(",")] if args.algorithms else experiments.NAMES)
     out, rows = Path(args.output), []
 
-    def one(code: str) -> dict:
-        began, cached = time.monotonic(), out / code / "leader.json"
-        if cached.exists() and not args.force:
-            return _cached(code, cached)
-        try:
-            return _summary(code, compare(spark, args, code, names, out / code), time.monotonic() - began)
-        except Exception as failure:  # noqa: BLE001  a state's failure is its ledger row
-            return _summary(code, [], time.monotonic() - began) | {"error": f"{type(failure).__name__}: {failure}"}
-
     def keep(row: dict) -> None:
         rows.append(row)
         sinks.update_ledger(out, [row], apportionment.tier_for)
 
+    def failed(code: str, seconds: float, error: str) -> dict:
+        return _summary(code, [], seconds) | {"error": error}
+
+    todo, began = [], time.monotonic()
+    for code in codes:
+        if (leader := out / code / "leader.json").exists() and not args.force:
+            keep(_cached(code, leader))
+        else:
+            todo.append(code)
     if args.cpu is None:
-        for code in codes:
-            keep(one(code))
-    else:
-        graph = tasks.TaskGraph([tasks.Task(c, "all") for c in codes])
-        tasks.run_graph(graph, lambda t: one(t.state_code), out, target_cpu_pct=args.cpu, max_workers=args.max_workers,
-                        on_result=lambda t, value, error: keep(value))
+        for code in todo:
+            began = time.monotonic()
+            try:
+                keep(_summary(code, compare(spark, args, code, names, out / code), time.monotonic() - began))
+            except Exception as failure:  # noqa: BLE001  a state's failure is its ledger row
+                keep(failed(code, time.monotonic() - began, f"{type(failure).__name__}: {failure}"))
+    elif todo:
+        def work(job: tasks.Job):
+            if job.work == tasks.RANK:
+                return finish_state(spark, args, job.state, names, out / job.state)
+            return run_task(spark, args, job.state, job.work, out / job.state)
+
+        def over(job: tasks.Job, value, error: str | None) -> None:
+            if job.work == tasks.RANK:
+                took = time.monotonic() - began
+                keep(_summary(job.state, value, took) if error is None else failed(job.state, took, error))
+
+        tasks.work_off(tasks.agenda_of(todo, names), work, out, spark=spark, poll_seconds=args.poll, on_over=over,
+                       target_cpu_pct=args.cpu, max_workers=args.max_workers)
     sinks.update_ledger(out, [], apportionment.tier_for, sinks.run_entry(args.tier, rows))
     return rows
 
@@ -197,7 +259,7 @@ def multi_start(spark: SparkSession, args) -> dict:
     store = f"{args.output}/{code}/trials.parquet"
     finished = spark.read.parquet(store) if not args.force and Path(store).exists() else None
     found = experiments.multi_start(units, edges, names, args.trials, k=state["n_districts"], base_seed=args.seed,
-                                    finished=finished, tolerance=args.tolerance, angle_steps=args.angle_steps, outlines=outlines)
+                                    finished=finished, outlines=outlines, **options(args))
     trials = [r.asDict() for r in found["trials"].orderBy("experiment", "trial_index").collect()]
     if trials:
         (out / code).mkdir(parents=True, exist_ok=True)
@@ -221,14 +283,12 @@ def multi_start(spark: SparkSession, args) -> dict:
 
 
 def control(args) -> dict:
-    change = {
-        "pause": lambda c: replace(c, paused=True), "freeze": lambda c: replace(c, freeze=True),
-        "resume": lambda c: replace(c, paused=False, freeze=False),
-        "set-cpu": lambda c: replace(c, target_cpu_pct=_percent(args.value)),
-        "set-max-workers": lambda c: replace(c, max_workers=None if args.value in (None, "none") else _count(args.value)),
+    said = {
+        "pause": lambda: {"paused": True}, "freeze": lambda: {"freeze": True}, "resume": lambda: {"paused": False, "freeze": False},
+        "set-cpu": lambda: {"target_cpu_pct": _percent(args.value)},
+        "set-max-workers": lambda: {"max_workers": None if args.value in (None, "none") else _count(args.value)},
     }
-    now = tasks.read_control(args.output) if args.action == "status" else tasks.change_control(args.output, change[args.action])
-    return asdict(now)
+    return tasks.heard(args.output) if args.action == "status" else tasks.say(args.output, **said[args.action]())
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -237,6 +297,13 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(control(args), indent=2))
         return 0
     spark = session()
+    try:
+        return work(spark, args)
+    finally:
+        workspace.release(spark)
+
+
+def work(spark: SparkSession, args) -> int:
     if args.command == "run":
         r = run(spark, args)
         print(f"{r['experiment']}: {r['km']:.2f} km, deviation {r['max_dev']:.4f} %")

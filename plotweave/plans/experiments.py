@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotweave.operators import balance, partitioners, ranking
+from plotweave.operators.kway import MATCHINGS
 from plotweave.operators.partitioners import PROBLEM
 from plotweave.sources.workspace import staged
 
@@ -17,6 +18,8 @@ NAMES = ("splitline-chord", "splitline-realized", "splitline-realized+kl", "meti
 #: What an experiment starts from.
 BASES = {"splitline-realized+kl": "splitline-realized", "metis+kl": "metis", "annealing": "splitline-realized",
          "annealing-from-kl": "splitline-realized+kl"}
+#: Annealing by what it starts from.
+STARTS = {"splitline": "annealing", "splitline+kl": "annealing-from-kl"}
 CUSTOM: dict = {}
 
 
@@ -60,13 +63,20 @@ def _as(problems: DataFrame, name: str) -> DataFrame:
     return problems.withColumn("experiment", F.lit(name))
 
 
+def _after(base: DataFrame, out: DataFrame) -> DataFrame:
+    """``out`` with the seconds of what it started from added to its own; null where unknown."""
+    took = base.groupBy("state_code", "trial").agg(F.max("seconds").alias("__before"))
+    return out.join(took, ["state_code", "trial"], "left").withColumn("seconds", F.col("seconds") + F.col("__before")).select(*out.columns)
+
+
 def partitions(units: DataFrame, edges: DataFrame, problems: DataFrame, experiments: list[str], *, tolerance: float = 0.005,
-               angle_steps: int = 180, anneal_iterations: int = 200_000, outlines: DataFrame | None = None,
-               repair: bool = False, **kway) -> DataFrame:
+               angle_steps: int = 180, anneal_iterations: int = 200_000, cooling: float = 0.99995,
+               temperature: float | None = None, outlines: DataFrame | None = None, repair: bool = False, **kway) -> DataFrame:
     """Districts of every problem by experiment; a base is computed once and shared.
 
     ``problems`` has ``state_code``, ``trial``, ``seed``, ``k``. Errors stay rows: an experiment
-    whose base failed fails with the base's error.
+    whose base failed fails with the base's error. ``seconds`` are those of work in tasks, the
+    base's and the repair's included. ``kway`` are options of the k-way partitioner.
     """
     wanted, done = check_names(experiments), {}
     given = problems.select("state_code", "trial", "seed", "k").distinct()
@@ -92,7 +102,7 @@ def partitions(units: DataFrame, edges: DataFrame, problems: DataFrame, experime
         else:
             base = BASES[name]
             kernel = (partitioners.refine_kernel(tolerance) if name.endswith("+kl")
-                      else partitioners.anneal_kernel(tolerance, anneal_iterations))
+                      else partitioners.anneal_kernel(tolerance, anneal_iterations, cooling, temperature))
             out = partitioners.solve(units, edges, seeds(name), kernel, start(base, name))
             lost = make(base).where("error is not null").select(
                 *PROBLEM, F.concat(F.lit(f"base '{base}' failed: "), F.col("error")).alias("error")).withColumn("experiment", F.lit(name))
@@ -100,10 +110,14 @@ def partitions(units: DataFrame, edges: DataFrame, problems: DataFrame, experime
         for c, kind in (("seconds", "double"), ("stats", "map<string,double>")):
             if c not in out.columns:
                 out = out.withColumn(c, F.lit(None).cast(kind))
-        out = staged(out.select(*PROBLEM, "unit_id", "district_id", "seconds", "stats", "error"), "partition")
+        out = out.select(*PROBLEM, "unit_id", "district_id", "seconds", "stats", "error")
+        if name in BASES:
+            out = _after(make(BASES[name]), out)
+        out = staged(out, "partition")
         if repair:
             fixed = partitioners.solve(units, edges, seeds(name), partitioners.repair_kernel(tolerance), out)
-            out = staged(fixed.select(*out.columns).unionByName(out.where("error is not null")), "repaired")
+            fixed = _after(out, fixed.select(*out.columns)).unionByName(out.where("error is not null"))
+            out = staged(fixed, "repaired")
         done[name] = out
         return out
 
@@ -128,7 +142,7 @@ def measure(units: DataFrame, edges: DataFrame, done: DataFrame) -> DataFrame:
         base.join(cut, PROBLEM, "left").join(report.select(*PROBLEM, "districts", "max_abs_deviation_pct"), PROBLEM, "left")
         .select(*PROBLEM, F.when(F.col("error").isNull(), "ok").otherwise("failed").alias("status"),
                 (F.col("cut") / 1000.0).alias("km"), F.col("max_abs_deviation_pct").alias("max_dev"),
-                F.coalesce("runtime_s", F.lit(0.0)).alias("runtime_s"), F.coalesce("refine_iterations", F.lit(0)).alias("refine_iterations"),
+                "runtime_s", F.coalesce("refine_iterations", F.lit(0)).alias("refine_iterations"),
                 F.coalesce("refine_improvement_pct", F.lit(0.0)).alias("refine_improvement_pct"), "error",
                 F.when(order == 0, len(NAMES) + 1).otherwise(order).alias("input_order"))
     )
@@ -144,9 +158,14 @@ def compare(units: DataFrame, edges: DataFrame, *, k: int | DataFrame, experimen
 
 
 def run(units: DataFrame, edges: DataFrame, *, k: int | DataFrame, algorithm: str = "metis", refine: bool = True, seed: int = 42,
-        **options) -> tuple[DataFrame, DataFrame]:
-    """One algorithm on every state, refined and repaired: the districts and one result a state."""
-    name = {"splitline": "splitline-realized"}.get(algorithm, algorithm)
+        start: str = "splitline", **options) -> tuple[DataFrame, DataFrame]:
+    """One algorithm on every state, refined and repaired: the districts and one result a state.
+
+    ``start`` is what annealing begins with: ``splitline`` or ``splitline+kl``.
+    """
+    if start not in STARTS:
+        raise ValueError(f"start must be one of {sorted(STARTS)}")
+    name = {"splitline": "splitline-realized", "annealing": STARTS[start]}.get(algorithm, algorithm)
     if refine and f"{name}+kl" in NAMES:
         name = f"{name}+kl"
     done = partitions(units, edges, plan_trials(units, [name], 1, k=k, base_seed=seed), [name], repair=True, **options)
@@ -189,3 +208,13 @@ def multi_start(units: DataFrame, edges: DataFrame, experiments: list[str], tria
     keys = ("state_code", "experiment")
     return {"trials": found, "distribution": ranking.trial_distribution(found, keys), "best": ranking.best_trials(found, keys),
             "saturation": ranking.saturation(found, keys)}
+
+
+def sweep_matchings(units: DataFrame, edges: DataFrame, *, k: int | DataFrame, trials: int = 10, base_seed: int = 42,
+                    matchings: tuple[str, ...] = MATCHINGS, **options) -> DataFrame:
+    """The k-way partitioner by kind of matching and seed: ``ctype`` and what :func:`measure` has."""
+    plan, found = plan_trials(units, ["metis"], trials, k=k, base_seed=base_seed), None
+    for kind in matchings:
+        one = measure(units, edges, partitions(units, edges, plan, ["metis"], ctype=kind, **options)).withColumn("ctype", F.lit(kind))
+        found = one if found is None else found.unionByName(one)
+    return found

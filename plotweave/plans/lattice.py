@@ -74,3 +74,12 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("experiment", "trial_index", (F.col("trial_index") + 42).alias("seed"),
                     F.when(ok, "ok").otherwise("failed").alias("status"), F.when(ok, F.col("cents") / 100).alias("km"),
                     F.when(ok, F.col("dev")).alias("max_dev"), F.col("n").cast("double").alias("runtime_s"))
+
+
+def random_edges(spark: SparkSession, n: int, share: float) -> DataFrame:
+    """Edges of a graph of ``n`` units in which about ``share`` of all pairs are neighbours, by a rule
+    that mixes their numbers."""
+    pairs = spark.range(n).select(F.col("id").alias("src"), F.explode(F.sequence(F.col("id") + 1, F.lit(n).cast("long"))).alias("dst"))
+    chosen = pairs.where(F.col("dst") < n).where(
+        F.expr("(src * 7919 + dst * 104729 + src * dst * 13) % 1000") < int(share * 1000))
+    return chosen.select(F.lit("R").alias("state_code"), "src", "dst", F.expr("cast(1 + (src * 31 + dst * 17) % 99 as double)").alias("length"))

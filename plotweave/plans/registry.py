@@ -374,19 +374,39 @@ def point_in_polygon(spark, sf_dir):
         "state_code", "unit_id", F.col("shape_id").alias("inside"))
 
 
-@query("hull_and_circle")
+@query("hull_and_circle", f"""{KITES}, c AS (SELECT k.state_code, k.unit_id, m.area, [{{'x': 0.0, 'y': 0.0}}, {{'x': 1.0 + k.a, 'y': 0.0}},
+    {{'x': 1.0, 'y': 1.0 + k.b}}, {{'x': 0.0, 'y': 1.0}}] AS p FROM k JOIN m USING (unit_id)),
+t AS (SELECT c.*, p[i] AS u, p[j] AS v, p[l] AS w FROM c, (VALUES (1, 2, 3), (1, 2, 4), (1, 3, 4), (2, 3, 4)) q(i, j, l)),
+d AS (SELECT *, list_sort([sqrt((u.x-v.x)**2 + (u.y-v.y)**2), sqrt((u.x-w.x)**2 + (u.y-w.y)**2), sqrt((v.x-w.x)**2 + (v.y-w.y)**2)]) AS s,
+    abs((v.x-u.x) * (w.y-u.y) - (w.x-u.x) * (v.y-u.y)) / 2 AS k FROM t),
+r AS (SELECT state_code, unit_id, area, max(CASE WHEN s[3]**2 >= s[1]**2 + s[2]**2 - 1e-12 THEN s[3] / 2 ELSE s[1] * s[2] * s[3] / (4 * k) END) AS radius
+  FROM d GROUP BY ALL)
+SELECT state_code, unit_id, CAST(1 AS DOUBLE) AS convex_hull_ratio, round(area / (pi() * radius * radius), 6) AS reock FROM r""")
 def hull_and_circle(spark, sf_dir):
     k, a = _kites(spark, sf_dir), geometry.area(F.col("rings"))
-    return k.select("state_code", "unit_id", shapes.convex_hull_ratio(a, shapes.hull_area("rings")).alias("convex_hull_ratio"),
-                    shapes.reock(a, shapes.circle_area("rings")).alias("reock"))
-
-
-@query("projected_units")
+    return k.select("state_code", "unit_id", F.round(shapes.convex_hull_ratio(a, shapes.hull_area("rings")), 6).alias("convex_hull_ratio"),
+                    F.round(shapes.reock(a, shapes.circle_area("rings")), 6).alias("reock"))
+
+
+@query("projected_units", f"""WITH {UNITS}, c AS (SELECT sqrt((1 / 298.257222101) * (2 - 1 / 298.257222101)) AS e, 6378137.0::DOUBLE AS axis),
+q(name, lat) AS (VALUES ('first', 29.5), ('second', 45.5), ('origin', 23.0)),
+s AS (SELECT name, e, axis, sin(radians(lat)) AS s, cos(radians(lat)) AS c FROM q CROSS JOIN c),
+f AS (SELECT name, e, axis, c / sqrt(1 - e*e*s*s) AS m, (1 - e*e) * (s / (1 - e*e*s*s) - ln((1 - e*s) / (1 + e*s)) / (2*e)) AS q FROM s),
+n AS (SELECT a.e, a.axis, (a.m**2 - b.m**2) / (b.q - a.q) AS n, a.m AS m1, a.q AS q1, o.q AS q0
+  FROM f a JOIN f b ON a.name = 'first' AND b.name = 'second' JOIN f o ON o.name = 'origin'),
+g AS (SELECT *, m1**2 + n * q1 AS big FROM n), h AS (SELECT *, axis * sqrt(big - n * q0) / n AS origin FROM g),
+p AS (SELECT state_code, unit_id, CAST(x AS DOUBLE) / 10 - 100 AS lon, CAST(y AS DOUBLE) / 10 + 30 AS lat FROM units),
+z AS (SELECT p.*, h.*, sin(radians(lat)) AS s FROM p CROSS JOIN h),
+r AS (SELECT *, axis * sqrt(big - n * (1 - e*e) * (s / (1 - e*e*s*s) - ln((1 - e*s) / (1 + e*s)) / (2*e))) / n AS rho,
+    n * radians(lon + 96) AS angle FROM z)
+SELECT state_code, unit_id, round(rho * sin(angle), 3) AS x, round(origin - rho * cos(angle), 3) AS y, round(lon, 8) AS lon, round(lat, 8) AS lat
+FROM r""")
 def projected_units(spark, sf_dir):
     p = geometry.project(F.col("x") / 10 - 100, F.col("y") / 10 + 30)
     return lattice.units(spark, sf_dir).select("state_code", "unit_id", p.alias("p")).select(
         "state_code", "unit_id", "p.*", geometry.unproject(F.col("p.x"), F.col("p.y")).alias("g")).select(
-        "state_code", "unit_id", "x", "y", "g.lon", "g.lat")
+        "state_code", "unit_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round("g.lon", 8).alias("lon"),
+        F.round("g.lat", 8).alias("lat"))
 
 
 # --- ranking, trials, ledger -----------------------------------------------------------------
@@ -515,14 +535,27 @@ def sliding_cpu_mean(spark, sf_dir):
     return s.select("event_id", "event_type", "ts", F.round("window_mean", 8).alias("window_mean"))
 
 
-@query("apportionment", "SELECT state_code, districts FROM (VALUES " + ", ".join(
-    f"('{s}', {n})" for s, n in apportionment.DISTRICTS_2020.items()) + ") t(state_code, districts)")
+# Apportionment populations of the 2020 census by state (U.S. Census Bureau).
+POPULATIONS = {
+    "AL": 5030053, "AK": 736081, "AZ": 7158923, "AR": 3013756, "CA": 39576757, "CO": 5782171, "CT": 3608298, "DE": 990837,
+    "FL": 21570527, "GA": 10725274, "HI": 1460137, "ID": 1841377, "IL": 12822739, "IN": 6790280, "IA": 3192406, "KS": 2940865,
+    "KY": 4509342, "LA": 4661468, "ME": 1363582, "MD": 6185278, "MA": 7033469, "MI": 10084442, "MN": 5709752, "MS": 2963914,
+    "MO": 6160281, "MT": 1085407, "NE": 1963333, "NV": 3108462, "NH": 1379089, "NJ": 9294493, "NM": 2120220, "NY": 20215751,
+    "NC": 10453948, "ND": 779702, "OH": 11808848, "OK": 3963516, "OR": 4241500, "PA": 13011844, "RI": 1098163, "SC": 5124712,
+    "SD": 887770, "TN": 6916897, "TX": 29183290, "UT": 3275252, "VT": 643503, "VA": 8654542, "WA": 7715946, "WV": 1795045,
+    "WI": 5897473, "WY": 577719,
+}
+
+
+@query("apportionment", f"""WITH p(state_code, pop) AS (VALUES {', '.join(f"('{s}', {n})" for s, n in POPULATIONS.items())}),
+seats AS (SELECT state_code FROM p CROSS JOIN range(2, 80) r(n) ORDER BY pop / sqrt(n * (n - 1)) DESC LIMIT 385)
+SELECT p.state_code, CAST(1 + count(s.state_code) AS INTEGER) AS districts FROM p LEFT JOIN seats s USING (state_code) GROUP BY ALL""")
 def apportionment_table(spark, sf_dir):
+    """Seats by state; the SQL finds them by the method of equal proportions."""
     return apportionment.seats(spark)
 
 
-@query("tiers", "SELECT state_code, tier FROM (VALUES " + ", ".join(
-    f"('{s}', '{t}')" for t, states in apportionment.TIERS.items() for s in states) + ") t(state_code, tier)")
+@query("tiers")
 def tiers(spark, sf_dir):
     return apportionment.tiers(spark)
 
@@ -554,23 +587,27 @@ def _measured(u: DataFrame, e: DataFrame, done: DataFrame) -> DataFrame:
 def splitline_realized(spark, sf_dir):
     u, e = _base(spark, sf_dir)
     u, e = staged(u, "units"), staged(e, "edges")
-    return _measured(u, e, partitioners.splitline(u, e, _problems(u, "splitline-realized"), angle_steps=24, steps_a_task=8))
+    return _measured(u, e, partitioners.splitline(u, e, _problems(u, "splitline-realized")))
+
+
+def _outlines(u: DataFrame) -> DataFrame:
+    """The rectangle around every state's units."""
+    box = u.groupBy("state_code").agg(*[f(c).cast("double").alias(f"{n}{c}") for f, n in ((F.min, "a"), (F.max, "b")) for c in "xy"])
+    p = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    a, b, c, d = F.col("ax"), F.col("bx") + 1, F.col("ay"), F.col("by") + 1
+    return box.select("state_code", F.array(F.array(p(a, c), p(b, c), p(b, d), p(a, d))).alias("rings"))
 
 
 @query("splitline_chord")
 def splitline_chord(spark, sf_dir):
     u, e = _base(spark, sf_dir)
     u, e = staged(u, "units"), staged(e, "edges")
-    box = u.groupBy("state_code").agg(*[f(c).cast("double").alias(f"{n}{c}") for f, n in ((F.min, "a"), (F.max, "b")) for c in "xy"])
-    p = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    a, b, c, d = F.col("ax"), F.col("bx") + 1, F.col("ay"), F.col("by") + 1
-    outlines = box.select("state_code", F.array(F.array(p(a, c), p(b, c), p(b, d), p(a, d))).alias("rings"))
-    return _measured(u, e, partitioners.splitline(u, e, _problems(u, "splitline-chord"), angle_steps=24,
-                                                  objective="chord", outlines=outlines, steps_a_task=8))
+    return _measured(u, e, partitioners.splitline(u, e, _problems(u, "splitline-chord"), objective="chord", outlines=_outlines(u)))
 
 
 @query("kway_partition")
 def kway_partition(spark, sf_dir):
+    """Two seeds at a tolerance of 2 %: one unit of the smallest sample is 10 % of a district."""
     u, e = _base(spark, sf_dir)
     u, e = staged(u, "units"), staged(e, "edges")
     return _measured(u, e, partitioners.solve(u, e, _problems(u, "metis", trials=2), partitioners.kway_kernel(0.02)))
@@ -586,16 +623,19 @@ def _improved(spark, sf_dir, kernel):
 
 @query("kl_refine")
 def kl_refine(spark, sf_dir):
+    """From districts by running population, which need 5 % to be legal."""
     return _measured(*_improved(spark, sf_dir, partitioners.refine_kernel(0.05)))
 
 
 @query("anneal")
 def anneal(spark, sf_dir):
+    """From districts by running population, which need 5 % to be legal."""
     return _measured(*_improved(spark, sf_dir, partitioners.anneal_kernel(0.05)))
 
 
 @query("repair_contiguity")
 def repair_contiguity(spark, sf_dir):
+    """From districts in patches, whose populations differ by up to a half."""
     u, e = _base(spark, sf_dir)
     u, e = staged(u, "units"), staged(e, "edges")
     problems = _problems(u, "repair", k=4)
@@ -605,11 +645,95 @@ def repair_contiguity(spark, sf_dir):
 
 @query("compare_experiments")
 def compare_experiments(spark, sf_dir):
+    """All experiments on all states with the workflow's defaults; what can't meet them is failed."""
     u, e = _base(spark, sf_dir)
-    small = u.where("state_code in ('S0', 'S1')")
-    return experiments.compare(staged(small, "units"), staged(e.where("state_code in ('S0', 'S1')"), "edges"), k=3,
-                               tolerance=0.02, angle_steps=12, anneal_iterations=2_000,
-                               experiments=[n for n in experiments.NAMES if n != "splitline-chord"])[1]
+    u, e = staged(u, "units"), staged(e, "edges")
+    return experiments.compare(u, e, k=3, outlines=_outlines(u))[1]
+
+
+def _invariants(u: DataFrame, e: DataFrame, done: DataFrame) -> DataFrame:
+    """Per problem: cut, districts, units, connected pieces, and the least and greatest population."""
+    keys = partitioners.PROBLEM
+    part = staged(done.where("unit_id is not null").select(*keys, "unit_id", "district_id"), "done")
+    # Every problem as a state of its own, so that pieces are found for all of them at once.
+    own = F.to_json(F.struct(*keys)).alias("own")
+    problems = part.select(*keys, own).distinct()
+    u2 = u.select("state_code", "unit_id", "pop").join(problems, "state_code").select(F.col("own").alias("state_code"), "unit_id", "pop")
+    e2 = e.join(problems, "state_code").select(F.col("own").alias("state_code"), "src", "dst", "length")
+    p2 = part.select(own, "unit_id", "district_id").withColumnRenamed("own", "state_code")
+    pieces = fragments.fragments(u2, e2, p2).groupBy("state_code").agg(F.count(F.lit(1)).alias("pieces"))
+    pops = balance.district_populations(u2, p2).groupBy("state_code").agg(
+        F.count(F.lit(1)).alias("districts"), F.sum("units").alias("units"), F.min("pop").alias("least"), F.max("pop").alias("most"))
+    return (
+        problems.join(pieces, problems["own"] == pieces["state_code"]).drop(pieces["state_code"])
+        .join(pops.withColumnRenamed("state_code", "own"), "own").join(balance.cut_weight(e2, p2).withColumnRenamed("state_code", "own"), "own")
+        .select(*keys, "cut", "districts", "units", "pieces", "least", "most")
+    )
+
+
+SIZES = f"""WITH {UNITS}, size AS (SELECT state_code, count(*) AS units, count(DISTINCT x) AS w, count(DISTINCT y) AS h FROM units GROUP BY ALL)"""
+
+
+@query("uniform_halves", f"""{SIZES} SELECT state_code, experiment, CAST(least(h, CASE WHEN h % 2 = 0 THEN w ELSE h END) AS BIGINT) AS cut,
+  CAST(2 AS BIGINT) AS districts, units, CAST(2 AS BIGINT) AS pieces, CAST(units // 2 AS BIGINT) AS least, CAST(units // 2 AS BIGINT) AS most
+FROM size CROSS JOIN (VALUES {', '.join(f"('{n}')" for n in experiments.NAMES)}) e(experiment)""")
+def uniform_halves(spark, sf_dir):
+    """Every experiment on rectangles of equal units, which have one best cut into halves."""
+    u, e = _base(spark, sf_dir)
+    u, e = staged(u.withColumn("pop", F.lit(1).cast("bigint")), "units"), staged(e.withColumn("length", F.lit(1).cast("bigint")), "edges")
+    done = experiments.partitions(u, e, experiments.plan_trials(u, list(experiments.NAMES), k=2), list(experiments.NAMES), outlines=_outlines(u))
+    return _invariants(u, e, done).drop("trial")
+
+
+@query("kway_invariants", f"""{SIZES} SELECT s.state_code, CAST(t.trial AS INTEGER) AS trial, CAST(3 AS BIGINT) AS districts, s.units,
+  CAST(3 AS BIGINT) AS pieces, true AS within FROM size s CROSS JOIN range(3) t(trial)""")
+def kway_invariants(spark, sf_dir):
+    """Three seeds: every unit in one of three connected districts within 5 % of the ideal."""
+    u, e = _base(spark, sf_dir)
+    u, e = staged(u, "units"), staged(e, "edges")
+    found = _invariants(u, e, partitioners.solve(u, e, _problems(u, "metis", trials=3), partitioners.kway_kernel(0.05)))
+    ideal = u.groupBy("state_code").agg((F.sum("pop") / 3).alias("ideal"))
+    return found.join(ideal, "state_code").select("state_code", "trial", "districts", "units", "pieces", (
+        (F.col("least") >= 0.95 * F.col("ideal")) & (F.col("most") <= 1.05 * F.col("ideal"))).alias("within"))
+
+
+@query("repair_invariants", f"""{SIZES}, {SCATTER}, d AS (SELECT state_code, count(DISTINCT district_id) AS districts FROM part GROUP BY ALL)
+SELECT s.state_code, d.districts, s.units, d.districts AS pieces FROM size s JOIN d USING (state_code)""")
+def repair_invariants(spark, sf_dir):
+    """Without a bound on populations every district is in one piece after the repair."""
+    u, e = _base(spark, sf_dir)
+    u, e = staged(u, "units"), staged(e, "edges")
+    problems = _problems(u, "repair", k=4)
+    start = problems.select(*partitioners.PROBLEM).join(lattice.scattered(u), "state_code")
+    done = partitioners.solve(u, e, problems, partitioners.repair_kernel(100.0), staged(start, "start"))
+    return _invariants(u, e, done).select("state_code", "districts", "units", "pieces")
+
+
+@query("adjacency_with_water", f"""WITH {UNITS}, kept AS (SELECT *, (x % 10) > 7 AS off FROM units WHERE x % 10 <> 7),
+n AS (SELECT a.state_code, a.unit_id, arg_min(b.unit_id, ((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) * 10000000 + b.unit_id) AS near
+  FROM kept a JOIN kept b ON a.state_code = b.state_code AND a.off AND NOT b.off GROUP BY ALL)
+SELECT state_code, least(unit_id, near) AS src, greatest(unit_id, near) AS dst, CAST(0 AS DOUBLE) AS length, true AS is_synthetic FROM n
+UNION ALL SELECT a.state_code, a.unit_id, b.unit_id, CAST(1 AS DOUBLE), false FROM kept a JOIN kept b ON a.state_code = b.state_code
+  AND (b.y = a.y AND b.x = a.x + 1 OR b.x = a.x AND b.y = a.y + 1)""")
+def adjacency_with_water(spark, sf_dir):
+    return adjacency.adjacency(lattice.squares(lattice.islands(lattice.units(spark, sf_dir))))
+
+
+@query("random_graph", """SELECT 'R' AS state_code, a.i AS src, b.i AS dst, CAST(1 + (a.i * 31 + b.i * 17) % 99 AS DOUBLE) AS length
+FROM range(200) a(i) JOIN range(200) b(i) ON a.i < b.i AND (a.i * 7919 + b.i * 104729 + a.i * b.i * 13) % 1000 < 100""")
+def random_graph(spark, sf_dir):
+    return lattice.random_edges(spark, 200, 0.1)
+
+
+@query("matchings_on_a_random_graph", """SELECT c.ctype, CAST(t.trial AS INTEGER) AS trial, 'ok' AS status, true AS within
+FROM (VALUES ('SHEM'), ('RM')) c(ctype) CROSS JOIN range(3) t(trial)""")
+def matchings_on_a_random_graph(spark, sf_dir):
+    """Both kinds of matching on one graph without a geometry: the option reaches the partitioner."""
+    u = spark.range(200).select(F.lit("R").alias("state_code"), F.col("id").alias("unit_id"), F.lit(1).cast("bigint").alias("pop"),
+                                F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy"))
+    e = staged(lattice.random_edges(spark, 200, 0.1), "edges")
+    return experiments.sweep_matchings(staged(u, "units"), e, k=5, trials=3, tolerance=0.05).select(
+        "ctype", "trial", "status", (F.col("max_dev") <= 5).alias("within"))
 
 
 @query("streaming_ledger", """SELECT user_id % 50 AS state_code, event_id, ts, event_type AS status, value AS elapsed_seconds FROM events

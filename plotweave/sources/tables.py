@@ -9,11 +9,12 @@ from __future__ import annotations
 import os
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotweave.functions import geometry
 from plotweave.operators.adjacency import adjacency
+from plotweave.operators.sweeps import prefix_sums
 from plotweave.plans.apportionment import DISTRICTS_2020
 
 #: Raised when the meaning of the stored edges changes; part of their folder.
@@ -61,16 +62,15 @@ def read_states(spark: SparkSession, root: str | None = None, codes: list[str] |
 def normalise_units(raw: DataFrame, projected: bool = True) -> DataFrame:
     """Raw blocks (``state_code``, ``GEOID20``, ``POP20``, ``rings``) as units.
 
-    ``unit_id`` is the block's 0-based place in its state by ``GEOID20``. RuntimeError without
-    ``POP20``.
+    ``unit_id`` is the block's 0-based place in its state by ``GEOID20``, which names a block; the
+    places of a state are counted by many tasks. RuntimeError without ``POP20``.
     """
     if "POP20" not in raw.columns:
         raise RuntimeError("blocks have no POP20 column")
     rings = _projected(F.col("rings")) if projected else F.col("rings")
-    place = Window.partitionBy("state_code").orderBy("geoid")
     units = raw.select(F.upper("state_code").alias("state_code"), F.col("GEOID20").alias("geoid"),
-                       F.col("POP20").cast("bigint").alias("pop"), "rings")
-    return (units.withColumn("unit_id", F.row_number().over(place).cast("bigint") - 1)
+                       F.col("POP20").cast("bigint").alias("pop"), "rings", F.lit(1).cast("bigint").alias("one"))
+    return (prefix_sums(units, ["state_code"], ["geoid"], "one", "place").withColumn("unit_id", F.col("place") - 1)
         .withColumn("rings", rings).withColumn("srid", _srid().cast("int")).withColumn("c", geometry.centroid(F.col("rings")))
         .select("state_code", "unit_id", "geoid", "pop", F.col("c.x").alias("cx"), F.col("c.y").alias("cy"), "srid", "rings"))
 

@@ -15,9 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset, one of our own."""
+    """The folder in ``spark.checkpoint.dir``; only where that is unset, one of our own.
+
+    A folder of our own is the driver's, so it serves a local master only: RuntimeError elsewhere.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="plotweave-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         root = f"file://{own}"

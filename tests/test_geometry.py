@@ -108,6 +108,22 @@ def test_shapes_of_districts(spark):
     assert {r["shape_id"] for r in dissolve.locate_or_nearest(far, shapes_, 2.0).collect()} == {0}
 
 
+@pytest.mark.parametrize("cell", [0.7, 5.0, 1000.0])
+def test_nearest_shape_is_by_its_sides(spark, cell):
+    """Beside the middle of a long side, whose corners are far away."""
+    import math
+    import random
+    shapes_ = spark.createDataFrame([("TT", 0, grids.ring(0, 0, 100, 1)), ("TT", 1, grids.ring(50, 3, 1, 1)), ("TT", 2, grids.ring(20, 30, 2, 9))],
+                                    f"state_code string, shape_id bigint, rings {geometry.RINGS}")
+    rng = random.Random(3)
+    points = [("TT", 0, 50.5, 1.8), *(("TT", i, rng.uniform(-40, 140), rng.uniform(-40, 60)) for i in range(1, 60))]
+    boxes = [(0, 0, 100, 1), (50, 3, 51, 4), (20, 30, 22, 39)]
+    away = lambda x, y, b: math.hypot(max(b[0] - x, 0, x - b[2]), max(b[1] - y, 0, y - b[3]))
+    expected = {i: min(range(3), key=lambda s: (away(x, y, boxes[s]), s)) for _, i, x, y in points}
+    got = dissolve.locate_or_nearest(spark.createDataFrame(points, "state_code string, unit_id int, x double, y double"), shapes_, cell)
+    assert {r["unit_id"]: r["shape_id"] for r in got.collect()} == expected and expected[0] == 0
+
+
 def test_corner_touching_rings_stay_apart(spark):
     u = grids.units(spark, [(0, 0), (1, 1)])
     part = u.select("state_code", "unit_id", F.lit(0).alias("district_id"))

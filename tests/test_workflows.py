@@ -146,56 +146,85 @@ def test_sliding_mean(spark):
     assert got == [10, 15, 30, pytest.approx((20 + 60 + 90) / 3)]
 
 
-def test_task_graph():
-    g = tasks.build_graph(["ID"], ["metis", "metis+kl"])
-    a, b, last = g.tasks
-    assert last.is_finalization and g.ready_tasks() == [a, b]
-    g.mark_running(a)
-    with pytest.raises(ValueError):
-        g.mark_running(a)
-    g.mark_failed(a, "x")
-    g.mark_done(b)
-    assert g.ready_tasks() == [last]
-    assert len(tasks.build_trial_graph("TX", ["a", "b"], 3).tasks) == 6
+def test_agenda():
+    g = tasks.agenda_of(["ID"], ["metis", "metis+kl"])
+    a, b = g.take(), g.take()
+    assert [a.work, b.work] == ["metis", "metis+kl"] and g.take() is None and g
+    g.close(a, "x")
+    assert g.take() is None
+    g.put_back(b)
+    assert g.take() == b
+    g.close(b)
+    last = g.take()
+    assert last == tasks.Job("ID", tasks.RANK) and g.errors == {a: "x"}
+    g.close(last)
+    assert not g
+    trials = tasks.agenda_of_trials("TX", ["a", "b"], 3)
+    assert [trials.take() for _ in range(7)] == [*[tasks.Job("TX", n, i) for n in "ab" for i in range(3)], None]
     for bad in (([], 3), (["a"], 0)):
         with pytest.raises(ValueError):
-            tasks.build_trial_graph("TX", *bad)
-
-
-def test_dispatch_and_observer():
-    g = tasks.build_graph(["ID"], ["metis", "metis+kl"])
-    c = tasks.Control()
-    assert tasks.next_tasks(g, set(), c, 10) == [g.tasks[0]]
-    from dataclasses import replace
-    for blocked in (replace(c, paused=True), replace(c, freeze=True), replace(c, target_cpu_pct=10), replace(c, max_workers=0)):
-        assert tasks.next_tasks(g, set(), blocked, 10) == []
-    clock, values = iter([0, 1, 2, 6]), iter([10, 20, 60, 90])
-    o = tasks.CpuObserver(lambda: next(values), lambda: next(clock), 5)
-    assert o.current() == 0
-    for _ in range(3):
-        o.update()
-    assert o.current() == 30
-    o.update()
-    assert o.current() == pytest.approx((20 + 60 + 90) / 3)
-
-
-def test_control_file_and_run(tmp_path):
+            tasks.agenda_of_trials("TX", *bad)
+
+
+def test_admission_and_load():
+    c = tasks.DEFAULTS
+    assert tasks.admits(c, 0, 10) and tasks.admits(c | {"max_workers": 2}, 1, 10)
+    for blocked in ({"paused": True}, {"freeze": True}, {"target_cpu_pct": 10}, {"max_workers": 1}):
+        assert not tasks.admits(c | blocked, 1, 10)
+    load = tasks.Load(5)
+    assert [load.add(t, v) for t, v in ((0, 10), (1, 20), (2, 60), (6, 90))] == [10, 15, 30, pytest.approx((20 + 60 + 90) / 3)]
+
+
+def test_control_log(tmp_path):
     from concurrent.futures import ThreadPoolExecutor
-    from dataclasses import replace
     with ThreadPoolExecutor(8) as pool:
-        list(pool.map(lambda _: tasks.change_control(tmp_path, lambda c: replace(c, target_cpu_pct=c.target_cpu_pct + 1)), range(20)))
-    c = tasks.read_control(tmp_path)
-    assert c.version == 20 and c.target_cpu_pct == 70
-    g, seen = tasks.build_graph(["ID"], ["metis", "metis+kl"]), []
+        list(pool.map(lambda i: tasks.say(tmp_path, target_cpu_pct=50.0 + i, **({"paused": True} if i == 7 else {})), range(20)))
+    now = tasks.heard(tmp_path)
+    assert now["version"] == 20 and now["paused"] and 50 <= now["target_cpu_pct"] <= 69 and now["freeze"] is False
+    with pytest.raises(ValueError):
+        tasks.say(tmp_path, speed=3)
 
-    def work(task):
-        if task.algorithm == "metis":
-            raise RuntimeError("no")
-        return task.algorithm
 
-    tasks.run_graph(g, work, tmp_path, target_cpu_pct=100.0, poll_seconds=0.01, observer=tasks.CpuObserver(lambda: 0.0),
-                    on_result=lambda t, v, e: seen.append((t.algorithm, v, e)))
-    assert sorted(seen) == [("_finalize", "_finalize", None), ("metis", None, "RuntimeError: no"), ("metis+kl", "metis+kl", None)]
+def test_work_off(tmp_path):
+    seen = []
+
+    def work(job):
+        if job.work == "metis":
+            raise RuntimeError("no")
+        return job.work
+
+    tasks.work_off(tasks.agenda_of(["ID"], ["metis", "metis+kl"]), work, tmp_path, target_cpu_pct=100.0, poll_seconds=0.01,
+                   sample=lambda: 0.0, on_over=lambda j, v, e: seen.append((j.work, v, e)))
+    assert sorted(seen) == [("metis", None, "RuntimeError: no"), ("metis+kl", "metis+kl", None), (tasks.RANK, tasks.RANK, None)]
+    assert seen[-1][0] == tasks.RANK
+
+
+def test_freeze_stops_and_resume_starts_anew(spark, tmp_path):
+    import threading
+    import time
+    begun, seen = [], []
+
+    def work(job):
+        begun.append(time.monotonic())
+        sleepy = F.udf(lambda i: time.sleep(0.2 if len(begun) == 1 else 0) or i, "long")
+        return spark.range(0, 200, numPartitions=2).select(F.sum(sleepy("id"))).first()[0]
+
+    def operator():
+        while not begun:
+            time.sleep(0.05)
+        time.sleep(1)
+        tasks.say(tmp_path, freeze=True)
+        time.sleep(2)
+        seen.append(len(begun))
+        tasks.say(tmp_path, freeze=False)
+
+    t = threading.Thread(target=operator)
+    t.start()
+    over = []
+    tasks.work_off(tasks.Agenda([tasks.Job("ID", "metis")]), work, tmp_path, spark=spark, target_cpu_pct=100.0, poll_seconds=0.05,
+                   sample=lambda: 0.0, on_over=lambda j, v, e: over.append((v, e)))
+    t.join()
+    assert seen == [1] and len(begun) == 2 and over == [(19900, None)]
 
 
 def test_outputs(spark, tmp_path):
@@ -215,6 +244,10 @@ def test_outputs(spark, tmp_path):
     shp = got["shapefile"].read_bytes()
     assert struct.unpack(">i", shp[:4])[0] == 9994 and struct.unpack(">i", shp[24:28])[0] * 2 == len(shp)
     assert got["png"].read_bytes()[:4] == b"\x89PNG"
+    import zlib
+    raw = got["png"].read_bytes()
+    at = raw.index(b"IDAT")
+    assert b"\0" * 24 in zlib.decompress(raw[at + 4:at + 4 + struct.unpack(">I", raw[at - 4:at])[0]])  # numbers in black
     with pytest.raises(ValueError):
         sinks.write_outputs(tmp_path, shapes, 1.0, info, {"pdf"})
     assert set(sinks.write_outputs(tmp_path / "light", shapes, 1.0, info, {"log"})) == {"log"}
@@ -269,6 +302,36 @@ def test_tables(spark, data):
     assert tables.fingerprint(changed) != tables.fingerprint(u)
 
 
+def test_jobs_by_experiment_go_on_where_they_were(spark, data, tmp_path):
+    """With --cpu every experiment is a job; results that are there are kept, and the ranking reads them."""
+    common = ["--data", data, "--tolerance", "0.02", "--angle-steps", "6", "--cpu", "100", "--poll", "0.05", "--output", str(tmp_path)]
+    args = cli.parser().parse_args(["validate", "--states", "MT,ZZ", "--algorithms", "metis,metis+kl", *common])
+    rows = {r["state_code"]: r for r in cli.validate(spark, args)}
+    assert rows["MT"]["status"] == "ok" and rows["MT"]["experiments_ok"] == 2 and rows["ZZ"]["status"] == "failed"
+    one = tmp_path / "MT" / "experiments" / "metis" / "task_result.json"
+    kept = json.loads(one.read_text())
+    assert kept["runtime_seconds"] > 0 and (tmp_path / "MT" / "districts.geojson").exists()
+    one.write_text(json.dumps(kept | {"total_internal_boundary_km": 0.5}))
+    (tmp_path / "MT" / "leader.json").unlink()
+    (tmp_path / "MT" / "experiments" / "metis+kl" / "task_result.json").unlink()
+    rows = {r["state_code"]: r for r in cli.validate(spark, args)}
+    assert rows["MT"]["leader"] == "metis" and rows["MT"]["leader_boundary_km"] == 0.5 and rows["MT"]["experiments_ok"] == 2
+
+
+def test_runtimes_add_up(spark, grid):
+    u, e = grid
+    names = ["splitline-realized", "splitline-realized+kl", "annealing-from-kl"]
+    done = experiments.partitions(u, e, experiments.plan_trials(u, names, 1, k=4), names, angle_steps=12, anneal_iterations=2000)
+    took = {r["experiment"]: r["runtime_s"] for r in experiments.measure(u, e, done).collect()}
+    assert 0 < took[names[0]] < took[names[1]] < took[names[2]]
+
+
+def test_matchings_and_random_graph(spark, grid):
+    u, e = grid
+    got = experiments.sweep_matchings(u, e, k=4, trials=2, attempts=1, tolerance=0.02).collect()
+    assert {(r["ctype"], r["trial"]) for r in got} == {(c, t) for c in ("SHEM", "RM") for t in (0, 1)}
+
+
 def test_command_line(spark, data, tmp_path, capsys):
     common = ["--data", data, "--tolerance", "0.02", "--angle-steps", "6"]
     assert cli.main(["run", "mt", "--output", str(tmp_path / "run"), *common]) == 0
@@ -283,7 +346,7 @@ def test_command_line(spark, data, tmp_path, capsys):
     assert cli.main(["multi-start", "MT", "--algorithms", "metis", "--trials", "2", "--output", str(tmp_path / "m"), *common]) == 0
     assert "2 / 2" in (tmp_path / "m" / "_summary.md").read_text()
     assert cli.main(["validate-ctl", "pause", "--output", str(tmp_path / "v")]) == 0
-    assert tasks.read_control(tmp_path / "v").paused
+    assert tasks.heard(tmp_path / "v")["paused"]
     for bad in (["validate", "--output", "x", "--cpu", "0"], ["multi-start", "MT", "--output", "x", "--trials", "0"]):
         with pytest.raises(SystemExit):
             cli.parser().parse_args(bad)
