@@ -26,8 +26,8 @@ from plotweave.sources.workspace import staged
 
 CAPACITY, END_ID = 4096, 1
 #: Characters of a slice of a long text. Words that each of a worker's two generations remembers,
-#: and the UTF-8 bytes of the longest of them: a bound of about 50 MB a worker.
-SLICE, KEPT, LONGEST = 1 << 18, 1 << 17, 32
+#: and the UTF-8 bytes of the longest of them: a bound of about 80 MB a worker.
+SLICE, KEPT, LONGEST = 1 << 18, 1 << 18, 32
 #: Places of the hashes of words that were missed once.
 MISSED = 1 << 20
 
@@ -170,24 +170,29 @@ class Tokens:
         self.known = _Words(self.word)
         self.marks: dict[str, bytes] = {}  # of single marks and digits, so never many
 
+    def _merged(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.merge(piece if piece.isascii() else piece.translate(self.letters))]).tobytes()
+
     def _piece(self, piece: str) -> bytes:
-        if ids := self.marks.get(piece):
-            return ids
-        ids = array("I", [t.id for t in self.merge(piece if piece.isascii() else piece.translate(self.letters))]).tobytes()
-        if len(piece) == 1:
-            self.marks[piece] = ids
+        if len(piece) > 1:
+            key = piece.encode()
+            return self.known.get(key) or self.known.older.get(key) or self._merged(piece)
+        if not (ids := self.marks.get(piece)):
+            ids = self.marks[piece] = self._merged(piece)
         return ids
 
     def word(self, word: str) -> bytes:
         low = word.lower()
+        if low.isascii():
+            if low.isalpha():
+                return self._merged(low)
+            stem = low.rstrip(",.")
+            if stem.isalpha() and len(low) - len(stem) == 1:  # the most frequent of the others
+                return self._piece(stem) + self._piece(low[-1])
         parts = PLAIN.findall(low)
         if "<|" in low or sum(map(len, parts)) != len(low) or len(low) != len(word):
             return array("I", self.encoder.encode(word, add_special_tokens=False).ids).tobytes()
-        if len(parts) == 1:
-            return self._piece(low)
-        known, older = self.known.get, self.known.older.get
-        return b"".join([known(p) or older(p) or self._piece(p.decode()) if len(p) > 1 else self._piece(p.decode())
-                         for p in [p.encode() for p in parts]])
+        return b"".join([self._piece(p) for p in parts]) if len(parts) > 1 else self._merged(low)
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
