@@ -39,11 +39,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{_session_folder(spark)}/{uuid.uuid4().hex}/{name}"
 
 
+#: Where the store is a local file system: without Hadoop's native library the usual class starts a
+#: ``chmod`` process for every file and folder; the raw one leaves permissions to the umask.
+LOCAL = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
+def local_options(path: str) -> dict[str, str]:
+    """``LOCAL`` for a path on a local file system, nothing elsewhere."""
+    return LOCAL if path.startswith(("file:", "/")) else {}
+
+
+def write(df: DataFrame, path: str) -> None:
+    """Write a working table."""
+    df.write.options(**local_options(path)).parquet(path)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return the table read back from there."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    write(df, path)
     table = spark.read.schema(df.schema).parquet(path)
     table._staged_path = path
     return table
