@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotweave.llm.common import addressed, table, text_of, without_space
-from plotweave.sources.workspace import new_path, staged
+from plotweave.sources.workspace import local_options, new_path, staged, write
 
 #: Bits of the bitmap of hit digests for each of them, and the logarithm of the most bits that are
 #: broadcast (16 MB); with more hits, texts are matched by an equi-join instead.
@@ -48,7 +48,7 @@ def keyed_state(spark: SparkSession, ledger: DataFrame, path: str, max_bytes: in
     """
     checkpoint, out = new_path(spark, "state"), new_path(spark, "digests")
     own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
-    for k, v in (STATE_CONF | (LOCAL_CONF if checkpoint.startswith(("file:", "/")) else {})).items():
+    for k, v in (STATE_CONF | (LOCAL_CONF | local if (local := local_options(checkpoint)) else {})).items():
         own.conf.set(k, v)
     query = (
         own.readStream.schema(ledger.schema).option("maxBytesPerTrigger", max_bytes)
@@ -60,8 +60,8 @@ def keyed_state(spark: SparkSession, ledger: DataFrame, path: str, max_bytes: in
     query.awaitTermination()
     kept = own.read.format("statestore").load(checkpoint)
     value = F.col("value")  # its fields have the names of the aggregates' buffers
-    kept.select(F.col("key")["digest"].alias("digest"), value["max"].alias("best"),
-                value["count"].alias("size")).write.parquet(out)
+    write(kept.select(F.col("key")["digest"].alias("digest"), value["max"].alias("best"),
+                      value["count"].alias("size")), out)
     return spark.read.parquet(out)
 
 
@@ -90,8 +90,7 @@ def exact_dedup(
     sha = F.unhex(F.sha2(F.col("norm"), 256))
     digest = F.substring(F.col("sha"), 1, digest_bytes)
     path = new_path(spark, "ledger")
-    rows.withColumn("sha", sha).select("__file", "__row", "id", "n", "sha",
-                                       digest.alias("digest")).write.parquet(path)
+    write(rows.withColumn("sha", sha).select("__file", "__row", "id", "n", "sha", digest.alias("digest")), path)
     ledger = spark.read.parquet(path)
     state = keyed_state(spark, ledger, path, max_bytes)
 
