@@ -111,8 +111,10 @@ def assign_shards(
     axes = [f"c{i}" for i in range(len(by_text) + 1)]
     placed = staged(placed.withColumn(axes[-1], number_cell(rows, "size", bits).cast("long"))
                     .select("__file", "__row", "id", "size", "crc", *axes), "cells")
-    # The curve is folded once a cell; there are at most 2^(bits * dimensions) of them.
-    curve = placed.select(*axes).distinct().withColumn("curve", hilbert_index([F.col(c) for c in axes], bits))
+    # The curve is folded once a cell, of which there are at most 2^(bits * dimensions); as a table,
+    # so that no filter on it is pushed to the rows.
+    curve = staged(placed.select(*axes).distinct(), "used").withColumn("curve", hilbert_index([F.col(c) for c in axes], bits))
+    curve = staged(curve, "curve")
     placed = placed.join(F.broadcast(curve), axes).drop(*axes)
     order = Window.partitionBy(F.lit(0)).orderBy("curve").rowsBetween(Window.unboundedPreceding, -1)
     runs = placed.groupBy("curve").agg(F.count(F.lit(1)).alias("n")).select(
