@@ -131,10 +131,7 @@ def inside_subset(edges: DataFrame, units: DataFrame) -> DataFrame:
 
 def unit_components(units: DataFrame, edges: DataFrame) -> DataFrame:
     """``state_code``, ``unit_id``, ``component``: the lowest unit that edges lead to."""
-    node = lambda c: F.struct("state_code", F.col(c).alias("unit_id"))
-    found = connected_components(edges.select(node("src").alias("src"), node("dst").alias("dst")))
-    found = found.select(F.col("node.state_code").alias("state_code"), F.col("node.unit_id").alias("unit_id"),
-                         F.col("component.unit_id").alias("component"))
+    found = connected_components(edges, by="state_code").withColumnRenamed("node", "unit_id")
     return units.select("state_code", "unit_id").join(found, ["state_code", "unit_id"], "left").select(
         "state_code", "unit_id", F.coalesce("component", "unit_id").alias("component"))
 

@@ -148,6 +148,26 @@ def test_components_of_paths_and_ties(spark):
     assert connected_components(e.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("held", [3, 50, 2_000_000])
+def test_components_equal_a_search(spark, held):
+    import random
+    rng = random.Random(held)
+    rows = [(rng.choice("AB"), rng.randint(0, 400), rng.randint(0, 400)) for _ in range(300)] + [("A", 5, 5), ("B", -2**40, 2**40)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for g, a, b in rows:
+        low, high = sorted((find((g, a)), find((g, b))))
+        root[high] = low
+    df = spark.createDataFrame(rows, "g string, src bigint, dst bigint").repartition(5)
+    got = {(r["g"], r["node"]): (r["g"], r["component"]) for r in connected_components(df, by="g", held=held).collect()}
+    assert got == {x: find(x) for x in root}
+
+
 def test_split_by_a_line(spark):
     r = F.col("rings")
     sides = [geometry.area(shapes.clip_half_plane(r, F.lit(0.3), F.lit(1.0), left)) for left in (True, False)]
