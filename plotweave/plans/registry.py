@@ -151,8 +151,8 @@ SELECT b.state_code, b.district_id, b.pop,
   round((b.pop - avg(b.pop) OVER w) / avg(b.pop) OVER w * 100.0, 6) AS deviation_pct, coalesce(c.cut, 0) AS cut
 FROM bal b LEFT JOIN cut c USING (state_code) WINDOW w AS (PARTITION BY b.state_code)""")
 def lattice_partition(spark, sf_dir):
-    u, e = _base(spark, sf_dir)
-    part = staged(_swept(u), "part")
+    u = staged(lattice.units(spark, sf_dir), "units")  # read by the sweep, the edges and the sums
+    e, part = lattice.neighbours(u), staged(_swept(u), "part")
     return balance.deviations(balance.district_populations(u, part)).join(balance.cut_weight(e, part), "state_code").select(
         "state_code", "district_id", "pop", F.round("deviation_pct", 6).alias("deviation_pct"), "cut")
 
