@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from plotweave.llm.common import addressed, table, text_of, without_space
 from plotweave.sources.workspace import local_options, new_path, staged, write
 
-#: Bits of the bitmap of hit digests for each of them, and the logarithm of the most bits that are
-#: broadcast (16 MB); with more hits, texts are matched by an equi-join instead.
-BITS_A_HIT, BITMAP_BITS = 16, 27
+#: Bits of the bitmap of hit rows for each of them, the fewest that are worth it, and the logarithm
+#: of the most bits that are broadcast (16 MB); with more hits, texts are matched by an equi-join.
+BITS_A_HIT, LEAST_BITS, BITMAP_BITS = 64, 16, 27
 #: The state lives in RocksDB; its files are not preallocated (there is one small store per
 #: partition) and a batch writes its changes rather than a copy of the store.
 _STORE = "spark.sql.streaming.stateStore"
@@ -82,37 +82,41 @@ def exact_dedup(
     full bytes makes the result the same for any value.
     """
     spark = docs.sparkSession
-    rows = addressed(docs).select(
+    texts = addressed(docs).select(
         "__file", "__row", F.col(key).cast("long").alias("id"), text_of(text).alias("t")
     )
-    rows = rows.select("__file", "__row", "id", F.char_length("t").cast("long").alias("n"),
-                       without_space(F.col("t")).alias("norm"))
-    sha = F.unhex(F.sha2(F.col("norm"), 256))
     digest = F.substring(F.col("sha"), 1, digest_bytes)
+
+    def digested(rows: DataFrame) -> DataFrame:
+        rows = rows.select("__file", "__row", "id", F.char_length("t").cast("long").alias("n"),
+                           without_space(F.col("t")).alias("norm"))
+        return rows.withColumn("sha", F.unhex(F.sha2(F.col("norm"), 256))).withColumn("digest", digest)
+
     path = new_path(spark, "ledger")
-    write(rows.withColumn("sha", sha).select("__file", "__row", "id", "n", "sha", digest.alias("digest")), path)
+    write(digested(texts).select("__file", "__row", "id", "n", "sha", "digest"), path)
     ledger = spark.read.parquet(path)
     state = keyed_state(spark, ledger, path, max_bytes)
 
-    # Full bytes of the hits. A bitmap that grows with them, within its bound, keeps texts
-    # without a copy out of the shuffle; a false positive is a class of one row.
-    hit = state.where("size > 1").select("digest")
-    bits = max(10, (BITS_A_HIT * hit.count()).bit_length())
-    content = rows.withColumn("sha", sha).withColumn("digest", digest)
-    if bits <= BITMAP_BITS:
-        head = F.conv(F.rpad(F.hex(F.substring("digest", 1, 4)), 8, "0"), 16, 10).cast("long")
-        place = F.shiftright(head, 32 - bits)
+    # Full bytes of the hits. A bitmap of their addresses that grows with them, within its bound,
+    # keeps all other texts from being normalised again and out of the shuffle; a false positive
+    # is a class of one row.
+    hit = state.where("size > 1")
+    n = hit.agg(F.sum("size")).first()[0] or 0
+    bits = min(BITMAP_BITS, max(10, (BITS_A_HIT * n).bit_length()))
+    if LEAST_BITS * n <= 1 << bits:
+        place = F.shiftrightunsigned(F.xxhash64("__file", "__row"), 64 - bits)
         one = F.expr("shiftleft(1L, cast(place & 63 as int))")
         words = (
-            hit.withColumn("place", place).select(F.shiftright("place", 6).alias("word"), one.alias("bit"))
+            ledger.join(hit.select("digest"), "digest", "left_semi").withColumn("place", place)
+            .select(F.shiftright("place", 6).alias("word"), one.alias("bit"))
             .groupBy("word").agg(F.bit_or("bit").alias("bits"))
         )
-        content = (
-            content.withColumn("place", place).withColumn("word", F.shiftright("place", 6))
+        content = digested(
+            texts.withColumn("place", place).withColumn("word", F.shiftright("place", 6))
             .join(F.broadcast(words), "word").where(F.col("bits").bitwiseAND(one) != 0)
         )
     else:
-        content = content.join(hit, "digest", "left_semi")
+        content = digested(texts).join(hit.select("digest"), "digest", "left_semi")
     classes = content.groupBy("digest", "norm").agg(
         F.max(_rank()).alias("best"), F.count(F.lit(1)).alias("size")
     )
