@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from plotweave.llm.common import give_back, table, text_of
 
-#: Labelled rows that the model is counted on (about), and the longest n-grams.
-TRAIN_ROWS, GRAM = 20_000, 5
+#: Labelled rows that the model is counted on (about), the longest n-grams, and words counted at
+#: once on the driver.
+TRAIN_ROWS, GRAM, CHUNK = 20_000, 5, 1 << 15
 #: Words, and n-grams, that are looked up at once; a longer text or run is read in parts of that
 #: many, so memory doesn't grow with either.
 TOGETHER = 1 << 18
@@ -73,6 +74,34 @@ def _packs(parts: Iterator[tuple[int, list[str]]]) -> Iterator[list[tuple[int, l
     yield pack
 
 
+def _grams_of(words: list[str], table: np.ndarray) -> Iterator[tuple[list[str], np.ndarray]]:
+    """The different n-grams of some words and their counts by language, one length after the other.
+
+    The n-grams at all places are numbered together: an n-gram is the number of the one a
+    character shorter at its place, and its last character.
+    """
+    edged = "".join([f"^{w}$" for w in words])
+    chars = np.frombuffer(edged.encode("utf-32-le"), np.uint32)
+    lengths = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+    owner = np.repeat(np.arange(len(words)), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(chars))  # characters to the word's end
+    marks = (left == 1) | (left == lengths[owner])
+    alphabet, letter = np.unique(chars, return_inverse=True)
+    at, code = np.arange(len(chars)), letter.astype(np.int64)
+    for size in range(1, GRAM + 1):
+        if size > 1:
+            whole = left[at] >= size
+            at = at[whole]
+            code = code[whole] * len(alphabet) + letter[at + size - 1]
+        used = ~marks if size == 1 else np.ones(len(at), bool)
+        _, first, place = np.unique(code[used], return_index=True, return_inverse=True)
+        of = owner[at[used]]
+        yield [edged[i:i + size] for i in at[used][first].tolist()], np.stack(
+            [np.bincount(place, column[of], len(first)) for column in table.T], axis=1
+        ) if table.shape[1] else np.zeros((len(first), 0))
+        code = place if size > 1 else code
+
+
 class Model:
     """Log frequencies of words and n-grams by language, as Arrow arrays with tables beside.
 
@@ -94,35 +123,18 @@ class Model:
         self.grams, self.gram_logs = self._count_grams(table)
 
     def _count_grams(self, table: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-        """All n-grams of the words, and their log frequencies among those of one length.
-
-        The n-grams at all places are numbered together, one length after the other: an n-gram is
-        the number of the one a character shorter at its place, and its last character.
-        """
-        words = self.words.to_pylist()
-        edged = "".join([f"^{w}$" for w in words])
-        chars = np.frombuffer(edged.encode("utf-32-le"), np.uint32)
-        lengths = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
-        owner = np.repeat(np.arange(len(words)), lengths)
-        left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(chars))  # characters to the word's end
-        marks = (left == 1) | (left == lengths[owner])
-        alphabet, letter = np.unique(chars, return_inverse=True)
-        at, code = np.arange(len(chars)), letter.astype(np.int64)
-        grams: list[str] = []
-        logs = [np.zeros((0, table.shape[1]), np.float32)]
+        """All n-grams of the words, and their log frequencies among those of one length."""
+        grams: dict[str, int] = {}
+        sums = np.zeros((0, table.shape[1]))
+        for i in range(0, len(self.words), CHUNK):
+            for found, counts in _grams_of(self.words[i:i + CHUNK].to_pylist(), table[i:i + CHUNK]):
+                at = [grams.setdefault(g, len(grams)) for g in found]
+                sums = np.concatenate([sums, np.zeros((len(grams) - len(sums), table.shape[1]))])
+                sums[at] += counts
+        logs, sizes = np.zeros(sums.shape, np.float32), np.fromiter(map(len, grams), np.int64, len(grams))
         for size in range(1, GRAM + 1):
-            if size > 1:
-                whole = left[at] >= size
-                at = at[whole]
-                code = code[whole] * len(alphabet) + letter[at + size - 1]
-            used = ~marks if size == 1 else np.ones(len(at), bool)
-            _, first, place = np.unique(code[used], return_index=True, return_inverse=True)
-            grams += [edged[i:i + size] for i in at[used][first].tolist()]
-            of = owner[at[used]]
-            logs.append(_logs(np.stack([np.bincount(place, column[of], len(first)) for column in table.T], axis=1)
-                              if table.shape[1] else np.zeros((len(first), 0))))
-            code = place if size > 1 else code
-        return pa.array(grams, pa.large_string()), np.concatenate(logs)
+            logs[sizes == size] = _logs(sums[sizes == size])
+        return pa.array(grams, pa.large_string()), logs
 
     def _gram_sums(self, words: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
         """Sums of the known n-grams of one length by word, and how many there are."""
