@@ -27,7 +27,7 @@ def district_populations(units: DataFrame, assignments: DataFrame, keys: list[st
 
 
 def deviations(districts: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Every district with its ideal and signed deviation in percent."""
+    """Every district with its ideal and signed deviation in percent, null where the ideal isn't positive."""
     ideals = districts.groupBy(*keys).agg(
         ideal_population(F.sum("pop"), F.count(F.lit(1))).alias("ideal"))
     return districts.join(ideals, keys).withColumn(
@@ -35,7 +35,10 @@ def deviations(districts: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 
 def population_report(districts: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """One row per partition: ideal, populations, deviations, largest absolute one and range."""
+    """One row per partition: ideal, populations, deviations, largest absolute one and range.
+
+    Deviations and what follows from them are null where the ideal isn't positive.
+    """
     by_id = F.array_sort(F.collect_list(F.struct("district_id", "pop", "deviation_pct")))
     return (
         deviations(districts, keys).groupBy(*keys).agg(
