@@ -154,6 +154,7 @@ def drop_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the row of its class that stays; nulls, ties and repeated rows as in :func:`exact_dedup`."""
     return exact_dedup(table(spark, sf_dir, "documents")).drop("__file", "__row")
 
 

@@ -149,6 +149,7 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, **options) ->
 
 
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and slot under the law of rows; nulls and repeated rows as in :func:`assign_shards`."""
     return assign_shards(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "curve")

@@ -255,6 +255,7 @@ def remainder(key: str, by: int) -> Column:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language by a model of the rows not held out; nulls and texts without letters as in :func:`predict`."""
     docs = table(spark, sf_dir, "documents")
     held_out = remainder("doc_id", 4) == 2
     model = fit(docs.where(~held_out), "text", "lang")

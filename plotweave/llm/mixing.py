@@ -181,6 +181,7 @@ def mixed(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str
 
 
 def op6_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that the mix takes; nulls and repeated rows as in :func:`mix`."""
     return mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
 

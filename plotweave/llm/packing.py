@@ -282,6 +282,7 @@ def pack_documents(
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place; nulls, long texts and repeated rows as in :func:`pack_documents`."""
     return pack_documents(table(spark, sf_dir, "documents"), word_bpe())
 
 

@@ -186,6 +186,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: s
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a model of the labels not held out; nulls and empty texts as in :func:`score_quality`."""
     held_out = remainder("doc_id", 3) == 1
     labels = table(spark, sf_dir, "labels").where(~held_out)
     return score_quality(table(spark, sf_dir, "documents"), labels).select(

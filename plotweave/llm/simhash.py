@@ -233,6 +233,7 @@ def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", *
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component; nulls, empty and repeated texts as in :func:`simhash_groups`."""
     return simhash_groups(table(spark, sf_dir, "documents")).select(
         "doc_id", "fingerprint", "component_id"
     )

@@ -190,6 +190,7 @@ def judge_urls(
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged; null, malformed and very long urls as in :func:`judge_urls`."""
     return judge_urls(table(spark, sf_dir, "pages"))
 
 

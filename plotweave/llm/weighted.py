@@ -287,4 +287,5 @@ def compare_with_next(docs: DataFrame, text: str = "text", key: str = "doc_id",
 
 
 def op4_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document beside its edited text and the next one; nulls and repeated ids as in :func:`compare_with_next`."""
     return compare_with_next(table(spark, sf_dir, "documents"))
